@@ -60,3 +60,44 @@ def p6_filled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_opponents, p1_boards, p2_found, p4_found, p4_observations, p4_game_states, p5_found, p6_found, p6_filled)}
+
+_OCCURRENCES = """
+WITH boards AS (
+  SELECT state_id, CAST(-1 AS BIGINT) AS opponent_pos, board FROM game_states
+  UNION ALL
+  SELECT state_id, CAST(i AS BIGINT) AS opponent_pos, observed_opponents[i + 1].board AS board
+  FROM (SELECT state_id, observed_opponents, unnest(range(len(observed_opponents))) AS i FROM game_states)),
+units AS (
+  SELECT DISTINCT state_id, opponent_pos, CAST(i AS BIGINT) AS unit_pos, board[i + 1] AS u
+  FROM (SELECT state_id, opponent_pos, board, unnest(range(len(board))) AS i FROM boards))
+"""
+
+_SPANS = """
+WITH e AS (
+  SELECT DISTINCT match_id, CAST(round(start_timestamp_s * 1000) AS BIGINT) AS s, CAST(round(end_timestamp_s * 1000) AS BIGINT) AS e
+  FROM (SELECT * FROM decisions WHERE isfinite(start_timestamp_s) AND isfinite(end_timestamp_s))
+  WHERE match_id IS NOT NULL AND start_timestamp_s <= end_timestamp_s),
+m AS (SELECT *, max(e) OVER (PARTITION BY match_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM e),
+g AS (SELECT *, sum(CASE WHEN top IS NULL OR s > top THEN 1 ELSE 0 END) OVER (PARTITION BY match_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM m),
+p AS (SELECT match_id, min(s) AS start_ms, max(e) AS end_ms FROM g GROUP BY match_id, g),
+n AS (SELECT *, lead(start_ms) OVER (PARTITION BY match_id ORDER BY start_ms) AS next_ms FROM p)
+SELECT match_id, 'period' AS span, start_ms, end_ms FROM n
+UNION ALL SELECT match_id, 'gap' AS span, end_ms AS start_ms, next_ms AS end_ms FROM n WHERE next_ms IS NOT NULL
+"""
+
+_MISSING = " UNION ".join(
+    f"SELECT state_id, '{name}' AS field FROM game_states WHERE {cell} IS NULL OR {cell} < {least}"
+    for name, cell, least in (("stage", "stage", 1), ("round", "round", 1), ("gold", "player.gold", 0), ("hp", "player.hp", 0))
+)
+
+ORACLES = {
+    "p1_found": _OCCURRENCES
+    + """SELECT state_id, opponent_pos, unit_pos, CAST(i AS BIGINT) AS item_pos, items[i + 1] AS item_id
+FROM (SELECT state_id, opponent_pos, unit_pos, u.items AS items, unnest(range(len(u.items))) AS i FROM units) WHERE items[i + 1] IS NOT NULL""",
+    "p1_units": _OCCURRENCES + "SELECT state_id, opponent_pos, unit_pos, u.instance_id AS instance_id, u.champion_id AS champion_id, u.stars AS stars FROM units WHERE u IS NOT NULL",
+    "p1_opponents": """SELECT DISTINCT state_id, CAST(i AS BIGINT) AS opponent_pos, o.player_id AS player_id, o.hp AS hp, o.level AS level
+FROM (SELECT state_id, i, observed_opponents[i + 1] AS o FROM (SELECT state_id, observed_opponents, unnest(range(len(observed_opponents))) AS i FROM game_states)) WHERE o IS NOT NULL""",
+    "p1_boards": _OCCURRENCES + "SELECT state_id, opponent_pos, count(*) AS n_units FROM units WHERE u IS NOT NULL GROUP BY state_id, opponent_pos",
+    "p2_found": _SPANS,
+    "p6_found": _MISSING,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import problems
 
 QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**problems.ORACLES}
 
 
 def flagship(spark, sf):
