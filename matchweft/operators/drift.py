@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 BUCKETS = 256
 SAME_VALUES, SAME_NAME = 0.5, 0.99
 _PROFILE = "stream_id string, record_type string, file_no bigint, path string, kind string, n bigint, n_frac bigint, low double, high double, total double, bucket int, n_bucket bigint"
-_DIGITS = re.compile(r"\d+")
+_DIGITS, _WORD = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+")
 #: Fields of the record contracts; a chain that passes through one of these names ends there.
 CONTRACT_FIELDS = {
     "observation": {"observation_id": "text", "match_id": "text", "timestamp_s": "number", "kind": "text", "value": "object", "confidence": "number", "evidence_ids": "array", "producer_version": "text", "schema_version": "number"},
@@ -37,8 +37,12 @@ def _kind(value: object) -> str:
     return {str: "text", list: "array", dict: "object"}[type(value)]
 
 
-def _bucket(text: str) -> int:
-    return zlib.crc32(_DIGITS.sub("9", text).encode()) % BUCKETS
+def _buckets(text: str) -> list[int]:
+    """Buckets of a text's shapes: digits as one; then words as one too, where that leaves more than words."""
+    fine = _DIGITS.sub("9", text)
+    coarse = _WORD.sub("w", fine)
+    out = [zlib.crc32(fine.encode()) % BUCKETS]
+    return [*out, BUCKETS + zlib.crc32(coarse.encode()) % BUCKETS] if re.search(r"[A-Z9]", coarse) else out
 
 
 def parse_object(payload: str | None) -> dict | None:
@@ -60,7 +64,8 @@ def _observe(value: object, path: str, seen: dict) -> None:
         entry["n_frac"] += number != int(number) if np.isfinite(number) else 1
         entry["low"], entry["high"], entry["total"] = min(entry["low"], number), max(entry["high"], number), entry["total"] + number
     elif kind == "text":
-        entry["hist"][_bucket(value)] += 1
+        for b in _buckets(value):
+            entry["hist"][b] += 1
     elif kind == "array":
         for x in value:
             if x is not None:
@@ -92,8 +97,8 @@ def schema_fingerprints(raw: DataFrame) -> DataFrame:
     """One row for each file: stream_id, record_type, file_no, fingerprint, fields.
 
     ``fields`` has, for each path and JSON type, the number of filled values, the number of
-    fractions, range and sum of numbers, and a histogram of value shapes in 256 buckets
-    (digits count as one), so its size depends on the schema and not on the rows. Lines that
+    fractions, range and sum of numbers, and a histogram of value shapes in 2 x 256
+    buckets (digits count as one, in the second half words too), so its size depends on the schema and not on the rows. Lines that
     are no JSON object are passed over; a file of such lines only has no row. Counts are
     added up within each batch before the shuffle.
     """
@@ -150,8 +155,13 @@ def _name_likeness(a: str, b: str) -> float:
     return max(shared, 0.6 if min(len(x), len(y)) >= 3 and (x.startswith(y) or y.startswith(x)) else 0.0)
 
 
-def _cosine(a: dict | None, b: dict | None) -> float:
-    a, b = a or {}, b or {}
+def _text_likeness(a: dict, b: dict) -> float:
+    """Likeness of two text fields' shapes; shared coarse shapes count a little less."""
+    part = lambda d, low: {k: v for k, v in (d.get("shapes") or {}).items() if low <= k < low + BUCKETS}
+    return max(_cosine(part(a, 0), part(b, 0)), 0.8 * _cosine(part(a, BUCKETS), part(b, BUCKETS)))
+
+
+def _cosine(a: dict, b: dict) -> float:
     top = sum(v * b[k] for k, v in a.items() if k in b)
     return top / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5 if top else 0.0
 
@@ -164,6 +174,8 @@ def _number_likeness(a: dict, b: dict) -> float:
     if max(x, y) > 4 * max(min(x, y), 1e-9):
         return 0.0
     shared = min(a["high"], b["high"]) - max(a["low"], b["low"])
+    if min(a["n_frac"] / a["n"], b["n_frac"] / b["n"]) >= 0.5:
+        return 0.6 if shared >= 0 else 0.5
     if shared < 0:
         return 0.0
     narrow = min(a["high"] - a["low"], b["high"] - b["low"])
@@ -172,13 +184,13 @@ def _number_likeness(a: dict, b: dict) -> float:
 
 def _value_likeness(a: _Node, b: _Node) -> float:
     if a.kind == "text":
-        return _cosine(a.profile.get("shapes"), b.profile.get("shapes"))
+        return _text_likeness(a.profile, b.profile)
     if a.kind == "number":
         return _number_likeness(a.profile, b.profile)
     if a.children or b.children:
         return len(a.children.keys() & b.children.keys()) / len(a.children.keys() | b.children.keys())
     if a.kind == "array":
-        scores = [_cosine(a.elements[k].get("shapes"), b.elements[k].get("shapes")) if k == "text" else _number_likeness(a.elements[k], b.elements[k]) if k == "number" else 0.3 for k in a.elements.keys() & b.elements.keys()]
+        scores = [_text_likeness(a.elements[k], b.elements[k]) if k == "text" else _number_likeness(a.elements[k], b.elements[k]) if k == "number" else 0.3 for k in a.elements.keys() & b.elements.keys()]
         return max(scores, default=0.0)
     return 0.3
 
