@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import table
 from .bpe import encode_corpus, token_counts
+from .packing import pack
 from .runs import observation_runs
+from .splits import assign_splits, linked_pairs
+from .stuffing import stuffed_pages
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -19,6 +25,23 @@ def p3_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("match_id", "kind", F.col("first_id").alias("first_observation_id"), F.col("last_id").alias("last_observation_id"), "n", F.round("duration", 3).alias("duration_s"))
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return linked_pairs(table(spark, sf, "transitions"))
+
+
+def p7_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return assign_splits(table(spark, sf, "transitions"), table(spark, sf, "split_shares"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and share of each split, beside its target."""
+    samples, shares = table(spark, sf, "transitions"), table(spark, sf, "split_shares")
+    sizes = samples.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
+    counted = assign_splits(samples, shares).select("match_id", "split").join(sizes, "match_id").groupBy("split").agg(F.sum("n").alias("n_rows"))
+    total = counted.agg(F.sum("n_rows").alias("total"))
+    return counted.join(shares, "split").join(F.broadcast(total)).select("split", "n_rows", F.col("share").alias("target"), (F.col("n_rows") / F.col("total")).alias("met"))
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode_corpus(table(spark, sf, "documents"))
 
@@ -27,7 +50,43 @@ def p8_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p8_ids, p8_counts)}
+def _capacities(spark: SparkSession, sf: str) -> list[tuple[str, int]]:
+    """The settings table; it has a few rows."""
+    rows = table(spark, sf, "containers").where("capacity_tokens > 0").orderBy("container").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("containers is a table of settings and has at most 1000 rows")
+    return [(r["container"], r["capacity_tokens"]) for r in rows]
+
+
+def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in containers of each capacity: one packing for each row of containers."""
+    sizes = cut_lineage(token_counts(table(spark, sf, "documents")))
+    packed = [pack(sizes, "doc_id", "n_tokens", [c]).withColumn("container", F.lit(name)) for name, c in _capacities(spark, sf)]
+    return reduce(DataFrame.unionByName, packed)
+
+
+def p9_joint(spark: SparkSession, sf: str) -> DataFrame:
+    """One packing that may use all capacities together; each bin ends at the least one that holds its contents."""
+    sizes = token_counts(table(spark, sf, "documents"))
+    return pack(cut_lineage(sizes), "doc_id", "n_tokens", [c for _, c in _capacities(spark, sf)])
+
+
+def p9_waste(spark: SparkSession, sf: str) -> DataFrame:
+    """Bins, tokens and unused share of each packing."""
+    each = p9_packed(spark, sf).select("container", "bin_id", "size", "capacity").unionByName(p9_joint(spark, sf).select(F.lit("joint").alias("container"), "bin_id", "size", "capacity"))
+    bins = each.groupBy("container", "bin_id").agg(F.sum("size").alias("size"), F.max("capacity").alias("capacity"))
+    return bins.groupBy("container").agg(F.count(F.lit(1)).alias("n_bins"), F.sum("size").alias("n_tokens"), (1 - F.sum("size") / F.sum("capacity")).alias("unused"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf, "documents")).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffed_pages(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p7_found, p7_splits, p7_shares, p8_ids, p8_counts, p9_packed, p9_joint, p9_waste, p10_found, p10_scores)}
 
 _RUNS = """
 WITH o AS (
@@ -49,4 +108,12 @@ FROM g GROUP BY match_id, kind, run
 ORACLES = {
     "p3_found": f"SELECT match_id, kind, first_observation_id, last_observation_id FROM ({_RUNS}) WHERE n >= 2",
     "p3_runs": _RUNS,
+    "p7_found": """
+WITH RECURSIVE s AS (
+  SELECT DISTINCT match_id, s FROM (SELECT match_id, state_id AS s FROM transitions UNION ALL SELECT match_id, next_state_id AS s FROM transitions)
+  WHERE regexp_matches(s, '[1-9]') AND match_id IS NOT NULL),
+e AS (SELECT DISTINCT a.match_id AS a, b.match_id AS b FROM s AS a JOIN s AS b ON a.s = b.s AND a.match_id <> b.match_id),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT a AS match_id_a, b AS match_id_b FROM r WHERE a < b
+""",
 }
