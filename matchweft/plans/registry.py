@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import problems
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {**problems.QUERIES}
-ORACLES: dict[str, str] = {**problems.ORACLES}
+from . import problems, reference, reference_sql
 
+QUERIES = {**problems.QUERIES, **reference.QUERIES}
+ORACLES = {**problems.ORACLES, **reference_sql.ORACLES}
 
-def flagship(spark, sf):
-    return QUERIES["p2_found"](spark, sf)
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return reference.state_latest(spark, sf)
