@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import cut_lineage
 from ..sources.tables import table
@@ -38,8 +38,8 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     samples, shares = table(spark, sf, "transitions"), table(spark, sf, "split_shares")
     sizes = samples.groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
     counted = assign_splits(samples, shares).select("match_id", "split").join(sizes, "match_id").groupBy("split").agg(F.sum("n").alias("n_rows"))
-    total = counted.agg(F.sum("n_rows").alias("total"))
-    return counted.join(shares, "split").join(F.broadcast(total)).select("split", "n_rows", F.col("share").alias("target"), (F.col("n_rows") / F.col("total")).alias("met"))
+    met = F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # a row for each split
+    return counted.join(shares, "split").select("split", "n_rows", F.col("share").alias("target"), met.alias("met"))
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
