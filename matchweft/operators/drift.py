@@ -179,7 +179,7 @@ def _number_likeness(a: dict, b: dict) -> float:
     if shared < 0:
         return 0.0
     narrow = min(a["high"] - a["low"], b["high"] - b["low"])
-    return min(1.0, shared / narrow) if narrow > 0 else 0.6
+    return min(1.0, shared / narrow) if narrow > 0 else 0.4  # one value alone tells little
 
 
 def _value_likeness(a: _Node, b: _Node) -> float:

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
-BINS, SMOOTHING, SEGMENT_S = 24, 0.5, 14_400
+BINS, SMOOTHING, SEGMENT_S = 32, 0.5, 14_400
+#: Rounds of a stage (its first one may be shorter).
+ROUNDS = 7
 #: The fields to fill, with the contract's lower bound.
 TARGETS = {"stage": 1, "round": 1, "gold": 0, "hp": 0}
 
@@ -35,7 +37,7 @@ def _cells(states: DataFrame) -> dict[str, Column]:
 
 
 def state_cells(states: DataFrame) -> DataFrame:
-    """One row for each state: the four cells (null where missing or under the contract's bound), helper fields, and the nearest known cells before and after it in its match.
+    """One row for each state: the four cells (null where missing or under the contract's bound), helper fields, the nearest known cells before and after it in its match, and what these suggest.
 
     Neighbours are looked up within four hours of a match, so a match that never ends is
     spread over many tasks. A re-sent state is one row.
@@ -46,12 +48,28 @@ def state_cells(states: DataFrame) -> DataFrame:
     rows = rows.dropDuplicates(["match_id", "segment", "timestamp_s", "state_id"])
     before = Window.partitionBy("match_id", "segment").orderBy("timestamp_s", "state_id").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("match_id", "segment").orderBy(F.desc("timestamp_s"), F.desc("state_id")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select("*", *[F.last(k, ignorenulls=True).over(before).alias(f"{k}_before") for k in TARGETS])
-    return rows.select("*", *[F.last(k, ignorenulls=True).over(after).alias(f"{k}_after") for k in TARGETS])
+    clock = F.col("stage") * ROUNDS + F.col("round")
+    rows = rows.withColumn("clock", F.when(clock.isNotNull(), F.struct(t.alias("t"), clock.alias("c"))))
+    rows = rows.select("*", *[F.last(k, ignorenulls=True).over(before).alias(f"{k}_before") for k in (*TARGETS, "clock")])
+    rows = rows.select("*", *[F.last(k, ignorenulls=True).over(after).alias(f"{k}_after") for k in (*TARGETS, "clock")])
+    return _with_hints(rows, t).drop("clock", "clock_before", "clock_after")
+
+
+def _with_hints(rows: DataFrame, t: Column) -> DataFrame:
+    """What the neighbours together suggest: the round by the clock between them, and the middle of their gold and hp."""
+    b, a = F.col("clock_before"), F.col("clock_after")
+    share = F.when(a["t"] > b["t"], (t - b["t"]) / (a["t"] - b["t"])).otherwise(F.lit(0.5))
+    at = F.coalesce(b["c"] + (a["c"] - b["c"]) * share, b["c"] + 1, a["c"] - 1)
+    whole = F.round(at)
+    stage = F.coalesce(F.round((at - F.col("round")) / ROUNDS), F.floor((whole - 1) / ROUNDS))
+    in_stage = F.coalesce(F.least(F.greatest(whole - F.col("stage") * ROUNDS, F.lit(1.0)), F.lit(float(ROUNDS))), F.pmod(whole - 1, F.lit(float(ROUNDS))) + 1)
+    middle = lambda k: F.coalesce((F.col(f"{k}_before") + F.col(f"{k}_after")) / 2, f"{k}_before", f"{k}_after")
+    hints = {"stage_hint": stage.cast("double"), "round_hint": in_stage.cast("double"), "gold_hint": middle("gold"), "hp_hint": middle("hp")}
+    return rows.select("*", *[c.alias(k) for k, c in hints.items()])
 
 
 def _variables() -> list[str]:
-    return [*TARGETS, "level", "minute", "phase_no", *[f"{k}_before" for k in TARGETS], *[f"{k}_after" for k in TARGETS]]
+    return [*TARGETS, "level", "minute", "phase_no", *[f"{k}_{x}" for x in ("before", "after", "hint") for k in TARGETS]]
 
 
 def _binned(df: pd.DataFrame, variables: list[str], borders: list[np.ndarray]) -> np.ndarray:
@@ -69,7 +87,7 @@ def fit_tree(cells: DataFrame) -> TreeModel:
 
     Bins are quantiles over all rows (a field of few values gets one bin for each). Pair
     counts are summed up within each partition as arrays of fixed size, then over partitions;
-    what reaches the driver is bounded by variables and bins (105 pairs of 24 x 24 cells).
+    what reaches the driver is bounded by variables and bins (190 tables of 32 x 32 cells).
     The maximum spanning tree of mutual information is the Chow-Liu tree.
     """
     variables = _variables()
