@@ -105,7 +105,7 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
 def _find(values: pa.Array, groups: np.ndarray, n: np.ndarray, total: np.ndarray, squares: np.ndarray, penalty: float, numeric: bool) -> np.ndarray:
     """First rows of all runs; groups has the first rows of all groups."""
     out = []
-    codes = None if numeric else np.asarray(pc.dictionary_encode(pc.fill_null(values, "null")).combine_chunks().indices if isinstance(values, pa.ChunkedArray) else pc.dictionary_encode(pc.fill_null(values, "null")).indices)
+    codes = None if numeric else pc.dictionary_encode(values, null_encoding="encode").indices.to_numpy()
     for a, b in zip(groups, np.r_[groups[1:], len(n)]):
         if b - a == 1:
             out.append(a)
@@ -141,7 +141,7 @@ def _first_pass(keys: list[str], penalty: float, numeric: bool):
             new_group = _changes(table, [*keys, "chunk"])
             keep = new_group | _changes(table, ["t", "id"]) | table["id"].combine_chunks().is_null().to_numpy(zero_copy_only=False)
             table, new_group = table.filter(pa.array(keep)), new_group[keep]
-            atom = new_group | _changes(table, ["value"])
+            atom = new_group | _changes(table, ["number" if numeric else "value"])
             groups = np.flatnonzero(new_group)
             at = np.flatnonzero(atom)
             last = np.r_[at[1:], table.num_rows] - 1
