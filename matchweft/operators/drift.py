@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 BUCKETS = 256
-SAME_VALUES, SAME_NAME = 0.5, 0.99
+SAME_VALUES, SAME_NAME, LIKE_NAME = 0.5, 0.99, 0.5
 _PROFILE = "stream_id string, record_type string, file_no bigint, path string, kind string, n bigint, n_frac bigint, low double, high double, total double, bucket int, n_bucket bigint"
 _DIGITS, _WORD = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+")
 #: Fields of the record contracts; a chain that passes through one of these names ends there.
@@ -38,9 +38,9 @@ def _kind(value: object) -> str:
 
 
 def _buckets(text: str) -> list[int]:
-    """Buckets of a text's shapes: digits as one; then words as one too, where that leaves more than words."""
+    """Buckets of a text's shapes: digits as one; then, for its beginning, words as one too, where that leaves more than words."""
     fine = _DIGITS.sub("9", text)
-    coarse = _WORD.sub("w", fine)
+    coarse = _WORD.sub("w", fine[:60])[:12]
     out = [zlib.crc32(fine.encode()) % BUCKETS]
     return [*out, BUCKETS + zlib.crc32(coarse.encode()) % BUCKETS] if re.search(r"[A-Z9]", coarse) else out
 
@@ -202,7 +202,7 @@ def _renames(gone: dict[str, _Node], new: dict[str, _Node]) -> dict[str, str]:
         for b, y in new.items():
             if x.kind == y.kind:
                 name, values = _name_likeness(a, b), _value_likeness(x, y)
-                if name >= SAME_NAME or values >= SAME_VALUES or (name >= 0.5 and values >= 0.25):
+                if name >= SAME_NAME or values >= SAME_VALUES or (name >= LIKE_NAME and (values >= 0.25 or x.kind == "text")):
                     scored.append((-(name + values), a, b))
     found: dict[str, str] = {}
     for _, a, b in sorted(scored):
