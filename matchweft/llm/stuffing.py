@@ -21,22 +21,22 @@ FUNCTION_WORDS = frozenset(
     a an the my our their this that these no every each and but because although though while so until after before during against instead of to in on at with
     for from by is was were has had which who what where when how i we you it not nor without around into well than one as by
     der die das den dem des ein eine einen einem und aber nicht war mich ich wir mit zu im am vom von für auf aus obwohl als wenn dass statt keine kein es bei lag
-    le la les un une des du de et que qui je ne au aux avec dans il elle ce ma mon même sur était
+    le la les un une des du de et que qui je ne au aux avec dans il elle ce ma mon même sur était à ai est qu
     el los las una unos y pero mi con por fue se su del al lo para aunque así no en
     o os as um uma e não com do da no na nos eu meu minha foi ao embora então
     """.split()
 )
 REPEATS, NEAR, STUFFED, SPAM_SHARE = 5, 7, 0.25, 0.5
-LEAST_CHARS, LEAST_WORDS = 40, 6
+THEME, LEAST_CHARS, LEAST_WORDS = 0.6, 40, 6
 
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"})
 _INVISIBLE = regex.compile(r"[\p{Cf}�]")
-_MARKUP = regex.compile(r"(?i)</?(?:p|div|span|br|b|i|u|em|strong|ul|ol|li|h\d|td|tr|table|body|html)\b[^>]*>|<\|[^|>]{1,30}\|>|\[(?:UNK|PAD|CLS|SEP|MASK)\]|&[a-z]{2,6};")
+_MARKUP = regex.compile(r"(?i)</?(?:p|s|div|span|br|b|i|u|em|strong|ul|ol|li|h\d|td|tr|table|body|html)\b[^>]*>|<\|[^|>]{1,30}\|>|\[(?:UNK|PAD|CLS|SEP|MASK)\]|&[a-z]{2,6};")
 _LINK = regex.compile(r"(?i)<a\s[^>]*>[^<]*(?:</a>)?|\[[^\[\]]{0,200}\]\([^()\s]*\)|(?:https?|hxxps?|ftp)\s?:\s?//\S+|www\.\S+")
 _NOISE = regex.compile(r"[A-Za-z0-9+/=_]{40,}")
 _CUT = regex.compile(r"[\r\n]+|(?<=[.!?…。！？](?:[\"'»”)]|))\s+|(?<=[。！？…])")
-_TOKEN = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}\p{N}@$'’]*|\p{N}[\p{L}\p{N}@$]*")
-_SPEAKER = regex.compile(r"^\W{0,3}[\p{L}\p{N}_]{0,12}\s?:\s?[\p{L}\p{N}_]{0,3}")
+_TOKEN = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}\p{N}@$]*|\p{N}[\p{L}\p{N}@$]*")
+_SPEAKER = regex.compile(r"^\W{0,3}[\p{L}\p{N}_]{0,12}[ \t]*[\p{N}]{0,3}\s?:\s?[\p{L}\p{N}_]{0,3}")
 _TAG = regex.compile(r"[\p{L}@]\w{0,9}:[\p{L}\p{N}@$]|#\w|\[[\w@$ -]+\]\s")
 _RECORDER = regex.compile(r"->|\w=\S|^\s*\[\d+-\d+\]|^\s*[{\[]\s*\"|\"\s*:\s*[\"{\[\d]|^\s*\d+(?:\.\d+)?s?\s+[a-z]+_[a-z]+|\b[a-z]+_[a-z]+\b.*\d")
 _OTHER_SCRIPT = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Hangul}]")
@@ -97,13 +97,13 @@ class SuffixAutomaton:
                 self.first[up] = min(self.first[up], self.first[s])
                 self.last[up] = max(self.last[up], self.last[s])
 
-    def dense_cover(self, telling: list[bool], repeats: int = REPEATS, near: int = NEAR) -> list[bool]:
-        """Places covered by a repeat of two words or more, one of them telling, that comes at least ``repeats`` times with at most ``near`` words from one to the next on average."""
+    def dense_cover(self, telling: list[bool], repeats: int = REPEATS, near: int = NEAR) -> tuple[list[bool], int]:
+        """Places covered by a repeat of two words or more, one of them telling, that comes at least ``repeats`` times with at most ``near`` words from one to the next on average; and how often the commonest of these comes."""
         n = len(self.prefix)
         told = [0]
         for t in telling:
             told.append(told[-1] + t)
-        cover = [0] * (n + 1)
+        cover, most = [0] * (n + 1), 0
         for at, s in enumerate(self.prefix):
             while s > 0 and self.length[s] >= 2:
                 times = self.count[s]
@@ -112,13 +112,14 @@ class SuffixAutomaton:
                     if told[at + 1] > told[start]:
                         cover[start] += 1
                         cover[at + 1] -= 1
+                        most = max(most, times)
                         break
                 s = self.link[s]
         out, depth = [], 0
         for d in cover[:n]:
             depth += d
             out.append(depth > 0)
-        return out
+        return out, most
 
 
 def _has_clause(segment: str, words: list[str]) -> bool:
@@ -156,12 +157,16 @@ def spam_share(text: str | None) -> tuple[float, float, float, int]:
         spans.append((len(sequence), len(sequence) + len(w)))
         sequence.extend(ids.setdefault(x, len(ids)) for x in w)
     flat = [x for w in words for x in w]
-    covered = SuffixAutomaton(sequence).dense_cover([x not in FUNCTION_WORDS and not x.isnumeric() for x in flat]) if len(flat) >= 2 * REPEATS else [False] * len(flat)
+    covered, most = [False] * len(flat), 0
+    if len(flat) >= 2 * REPEATS:
+        covered, most = SuffixAutomaton(sequence).dense_cover([x not in FUNCTION_WORDS and not x.isnumeric() for x in flat])
+    clauses = [_has_clause(s, w) for s, w in zip(segments, words)]
+    if most < THEME * sum(clauses):  # prose whose sentences are built alike repeats itself too, but has no phrase that most of it is about
+        covered = [False] * len(flat)
     spam = good = repeated = 0
-    for segment, w, (a, b) in zip(segments, words, spans):
+    for segment, w, (a, b), clause in zip(segments, words, spans, clauses):
         size = len(segment.strip())
         cover = sum(covered[a:b])
-        clause = _has_clause(segment, w)
         told = _RECORDER.search(segment) or (clause and _SPEAKER.match(segment))
         stuffed = b > a and cover >= STUFFED * (b - a) and not told
         repeated += size if stuffed else 0
