@@ -9,6 +9,7 @@ row no longer tells missing from null, or number from text.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -43,10 +44,6 @@ def _get(x: Column, kind: str) -> Column:
     return F.try_variant_get(x, "$", kind)
 
 
-def _as_map(x: Column) -> Column:
-    return F.try_variant_get(x, "$", "map<string,variant>")
-
-
 def _in_bounds(v: Column, f: Field) -> Column:
     """False out of the field's bounds; NaN is out of any."""
     ok = F.lit(True)
@@ -57,85 +54,107 @@ def _in_bounds(v: Column, f: Field) -> Column:
     return ok & ~F.isnan(v.cast("double")) if f.type == "float" else ok
 
 
-def _scalar(x: Column, f: Field, kind: str, path: str) -> tuple[Column, Column]:
-    """Value and violations of a scalar that is neither missing nor null."""
-    own = F.schema_of_variant(x)
+def _entries(x: Column) -> Column:
+    """An object as map of key to (variant, JSON type); null if it is no object. Each value is looked at once."""
+    return F.transform_values(_get(x, "map<string,variant>"), lambda _, v: F.struct(v.alias("v"), F.schema_of_variant(v).alias("k")))
+
+
+def _bind(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x evaluated once, however often it occurs; inside lambdas nothing else shares subexpressions."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _judged(value: Column, codes: Column) -> Column:
+    return F.struct(value.alias("value"), codes.alias("codes"))
+
+
+def _scalar(x: Column, own: Column, f: Field, kind: str, path: str) -> Column:
+    """Value and violations of a scalar that is neither missing nor null; ``own`` is its JSON type."""
     text = _get(x, "string")
     number = own.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
     if kind in DOMAINS:
-        return text, _codes((own != "STRING", f"{path}:type"), ((own == "STRING") & ~text.isin(*DOMAINS[kind]), f"{path}:domain"))
+        return _judged(text, _codes((own != "STRING", f"{path}:type"), ((own == "STRING") & ~text.isin(*DOMAINS[kind]), f"{path}:domain")))
     if kind == "str":
-        return F.when(own == "STRING", text), _codes((own != "STRING", f"{path}:type"))
+        return _judged(F.when(own == "STRING", text), _codes((own != "STRING", f"{path}:type")))
     if kind == "int":
-        spelled = F.when(own == "BOOLEAN", _get(x, "int").cast("decimal(38,9)")).when(number, _get(x, "string").try_cast("decimal(38,9)"))
+        spelled = F.when(own == "BOOLEAN", _get(x, "int").cast("decimal(38,9)")).when(number, text.try_cast("decimal(38,9)"))
         spelled = spelled.when((own == "STRING") & text.rlike(r"^\s*[+-]?\d+(\.0*)?\s*$"), F.trim(text).try_cast("decimal(38,9)"))
-        whole = F.when(spelled == F.floor(spelled), spelled).try_cast("bigint")
-        return whole, _codes((whole.isNull(), f"{path}:type"), (whole.isNotNull() & ~_in_bounds(whole, f), f"{path}:range"))
+        whole = _bind(spelled, lambda d: F.when(d == F.floor(d), d).try_cast("bigint"))
+        return _bind(whole, lambda v: _judged(v, _codes((v.isNull(), f"{path}:type"), (v.isNotNull() & ~_in_bounds(v, f), f"{path}:range"))))
     if kind == "float":
         v = F.when(own == "BOOLEAN", _get(x, "int").cast("double")).when(number, _get(x, "double")).when(own == "STRING", F.trim(text).try_cast("double"))
-        endless = F.abs(v) == float("inf")
-        return v, _codes((v.isNull(), f"{path}:type"), (endless, f"{path}:finite"), (v.isNotNull() & ~endless & (F.isnan(v) | ~_in_bounds(v, f)), f"{path}:range"))
+
+        def judge(v: Column) -> Column:
+            endless = F.abs(v) == float("inf")
+            return _judged(v, _codes((v.isNull(), f"{path}:type"), (endless, f"{path}:finite"), (v.isNotNull() & ~endless & (F.isnan(v) | ~_in_bounds(v, f)), f"{path}:range")))
+
+        return _bind(v, judge)
     if kind == "bool":
         word = F.when(own == "STRING", F.lower(text)).when(number, F.when(_get(x, "double") == 1, "1").when(_get(x, "double") == 0, "0"))
         v = F.when(own == "BOOLEAN", _get(x, "boolean")).when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
-        return v, _codes((v.isNull(), f"{path}:type"))
+        return _bind(v, lambda v: _judged(v, _codes((v.isNull(), f"{path}:type"))))
     if kind == "datetime":
         v = F.when((own == "STRING") & text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"), text.try_cast("timestamp"))
-        return v, _codes((v.isNull(), f"{path}:type"))
+        return _bind(v, lambda v: _judged(v, _codes((v.isNull(), f"{path}:type"))))
     if kind == "json":
-        return F.when(own.startswith("OBJECT"), F.to_json(x)), _codes((~own.startswith("OBJECT"), f"{path}:type"))
+        return _judged(F.when(own.startswith("OBJECT"), F.to_json(x)), _codes((~own.startswith("OBJECT"), f"{path}:type")))
     raise ValueError(kind)
 
 
-def _value(x: Column, f: Field, kind: str, path: str) -> tuple[Column, Column]:
-    own = F.schema_of_variant(x)
+def _value(x: Column, own: Column, f: Field, kind: str, path: str) -> Column:
+    """Value and violations of any value that is neither missing nor null."""
     if kind == "pair":
-        items = _get(x, "array<variant>")
         side = Field("side", "int", False, None, None, None)
-        ends = [_scalar(F.get(items, F.lit(i)), side, "int", path) for i in (0, 1)]
-        value = F.struct(ends[0][0].alias("width"), ends[1][0].alias("height"))
-        fine = F.coalesce(F.size(items) == 2, F.lit(False))
-        return F.when(fine, value), F.when(fine, F.array_distinct(F.concat(ends[0][1], ends[1][1]))).otherwise(F.array(F.lit(f"{path}:arity")))
+
+        def both(items: Column) -> Column:
+            ends = F.transform(items, lambda e: _scalar(e, F.schema_of_variant(e), side, "int", path))
+            value = F.struct(F.get(ends, F.lit(0))["value"].alias("width"), F.get(ends, F.lit(1))["value"].alias("height"))
+            fine = F.coalesce(F.size(items) == 2, F.lit(False))
+            return _judged(F.when(fine, value), F.when(fine, F.array_distinct(F.flatten(F.transform(ends, lambda e: e["codes"])))).otherwise(F.array(F.lit(f"{path}:arity"))))
+
+        return _bind(_get(x, "array<variant>"), both)
     if kind.startswith("list<"):
         inner, nullable = f.element
-        parsed = F.transform(_get(x, "array<variant>"), lambda e: _element(e, inner, nullable, f"{path}[]"))
-        value = F.transform(parsed, lambda p: p["value"])
-        codes = F.array_distinct(F.flatten(F.transform(parsed, lambda p: p["codes"])))
-        return value, F.when(own.startswith("ARRAY"), codes).otherwise(F.array(F.lit(f"{path}:type")))
-    if kind in contracts():
-        return _object(_as_map(x), kind, path)
-    return _scalar(x, f, kind, path)
+        items = _get(x, "array<variant>")
+        absent = lambda e: e.isNull() | F.is_variant_null(e)
+        empty = _judged(F.lit(None).cast(_relaxed(spark_type(inner))), _none() if nullable else F.array(F.lit(f"{path}[]:null")))
+        if inner in contracts():
+            seen = F.transform(items, lambda e: F.struct(absent(e).alias("absent"), _entries(e).alias("m")))
+            parsed = F.transform(seen, lambda e: F.when(e["absent"], empty).otherwise(_object(e["m"], inner, f"{path}[]")))
+        else:
+            plain = Field("", inner, nullable, None, None, None)
+            parsed = F.transform(items, lambda e: F.when(absent(e), empty).otherwise(_scalar(e, F.schema_of_variant(e), plain, inner, f"{path}[]")))
 
+        def whole(parts: Column) -> Column:
+            codes = F.array_distinct(F.flatten(F.transform(parts, lambda e: e["codes"])))
+            return _judged(F.transform(parts, lambda e: e["value"]), F.coalesce(codes, F.array(F.lit(f"{path}:type"))))
 
-def _element(e: Column, kind: str, nullable: bool, path: str) -> Column:
-    null = e.isNull() | F.is_variant_null(e)
-    value, codes = _value(e, Field("", kind, nullable, None, None, None), kind, path)
-    empty = _none() if nullable else F.array(F.lit(f"{path}:null"))
-    return F.struct(F.when(~null, value).cast(_relaxed(spark_type(kind))).alias("value"), F.when(null, empty).otherwise(codes).alias("codes"))
+        return _bind(parsed, whole)
+    if kind in contracts():
+        return _bind(_entries(x), lambda m: _object(m, kind, path))
+    return _scalar(x, own, f, kind, path)
 
 
-def _object(m: Column, contract: str, path: str) -> tuple[Column, Column]:
-    """Struct and violations of an object that is given as map of key to variant; a null map is no object."""
-    values, codes = [], []
+def _object(m: Column, contract: str, path: str) -> Column:
+    """Struct and violations of an object given by its ``_entries``; null entries are no object. What lies below is judged once and then used for both."""
+    fields = contracts()[contract]
     at = lambda name: f"{path}.{name}" if path else name
-    for f in contracts()[contract]:
-        x = m[f.name]
-        present = F.map_contains_key(m, F.lit(f.name))
-        null = F.is_variant_null(x)
-        value, wrong = _value(x, f, f.type, at(f.name))
-        kind = _relaxed(spark_type(f.type))
-        given = F.when(present & ~null, value).cast(kind)
-        if f.default is None:
-            values.append(given.alias(f.name))
-        else:
-            values.append(F.when(present, given).otherwise(_default(f)).cast(kind).alias(f.name))
-        missing = F.array(F.lit(f"{at(f.name)}:missing")) if f.default is None else _none()
-        of_null = _none() if f.nullable else F.array(F.lit(f"{at(f.name)}:null"))
-        codes.append(F.when(~present, missing).when(null, of_null).otherwise(wrong))
-    names = [f.name for f in contracts()[contract]]
-    unknown = F.transform(F.array_sort(F.array_except(F.map_keys(m), F.array(*map(F.lit, names)))), lambda k: F.concat(F.lit(at("")), k, F.lit(":unknown_field")))
-    all_codes = _concat([*codes, unknown])
-    return F.struct(*values), F.when(m.isNull(), F.array(F.lit(f"{path or 'record'}:type"))).otherwise(all_codes)
+    judged = F.struct(*[_value(m[f.name]["v"], m[f.name]["k"], f, f.type, at(f.name)).alias(f.name) for f in fields])
+
+    def put_together(parts: Column) -> Column:
+        values, codes = [], []
+        for f in fields:
+            present, null = F.map_contains_key(m, F.lit(f.name)), m[f.name]["k"] == "VOID"
+            kind = _relaxed(spark_type(f.type))
+            given = F.when(present & ~null, parts[f.name]["value"]).cast(kind)
+            values.append((given if f.default is None else F.when(present, given).otherwise(_default(f)).cast(kind)).alias(f.name))
+            missing = F.array(F.lit(f"{at(f.name)}:missing")) if f.default is None else _none()
+            of_null = _none() if f.nullable else F.array(F.lit(f"{at(f.name)}:null"))
+            codes.append(F.when(~present, missing).when(null, of_null).otherwise(parts[f.name]["codes"]))
+        unknown = F.transform(F.array_sort(F.array_except(F.map_keys(m), F.array(*[F.lit(f.name) for f in fields]))), lambda k: F.concat(F.lit(at("")), k, F.lit(":unknown_field")))
+        return _judged(F.struct(*values), F.when(m.isNull(), F.array(F.lit(f"{path or 'record'}:type"))).otherwise(_concat([*codes, unknown])))
+
+    return _bind(judged, put_together)
 
 
 def _default(f: Field) -> Column:
@@ -160,14 +179,15 @@ def validate_json(df: DataFrame, contract: str, column: str = "json", mode: str
     a key twice, has the one violation ``record:json``; its record is null. A null text too.
     Infinite numbers are violations.
     """
-    parsed = df.withColumn("__v", F.try_parse_json(F.col(column))).withColumn("__m", _as_map(F.col("__v")))
-    record, codes = _object(F.col("__m"), contract, "")
+    judged = _bind(_entries(F.col("__v")), lambda m: _object(m, contract, ""))
+    parsed = df.withColumn("__v", F.try_parse_json(F.col(column))).withColumn("__r", judged)
     unreadable = F.col("__v").isNull()
-    out = parsed.withColumn("violations", F.when(unreadable, F.array(F.lit("record:json"))).otherwise(codes)).withColumn("record", F.when(~unreadable & F.col("__m").isNotNull(), record))
+    out = parsed.withColumn("violations", F.when(unreadable, F.array(F.lit("record:json"))).otherwise(F.col("__r.codes")))
+    out = out.withColumn("record", F.when(F.col("__v").isNotNull() & ~F.array_contains("violations", "record:type"), F.col("__r.value")))
     if mode == "failfast":
         bad = F.size("violations") > 0
         out = out.withColumn("record", F.when(bad, F.raise_error(F.concat(F.lit("invalid record: "), F.array_join("violations", ", "))).cast(_relaxed(spark_type(contract)))).otherwise(F.col("record")))
-    return out.drop("__v", "__m")
+    return out.drop("__v", "__r")
 
 
 def accepted(validated: DataFrame) -> DataFrame:
