@@ -46,6 +46,11 @@ c AS (
 mo AS (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY phase, action_type) AS probability FROM c)
 """
 
+READINGS = """o AS (
+  SELECT DISTINCT observation_id, match_id, kind, timestamp_s, confidence,
+    CASE WHEN kind = 'shop' THEN coalesce(CAST(try_cast(json_extract_string(value, '$.slot') AS DECIMAL(38, 9)) AS VARCHAR), '') || '/' || coalesce(lower(json_extract_string(value, '$.champion_id')), '')
+      ELSE CAST(try_cast(json_extract_string(value, '$.' || kind) AS DECIMAL(38, 9)) AS VARCHAR) END AS same
+  FROM observations WHERE kind IN ('gold', 'hp', 'level', 'xp', 'shop') AND confidence >= CAST(0.7 AS DOUBLE) AND len(json_keys(CAST(value AS JSON))) > 0)"""
 _LATEST = "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY timestamp_s DESC, state_id DESC, ingested_at) AS pick FROM game_states) WHERE pick = 1)"
 
 ORACLES = {
@@ -189,5 +194,24 @@ FROM game_states AS s JOIN w ON s.match_id = w.match_id WHERE s.reducer_version
 SELECT la.match_id AS match_id, la.state_id AS state_id, CASE WHEN coalesce(x.urgency, 0) >= 2 THEN 'stabilize' WHEN coalesce(la.player.gold, 0) >= 50 AND coalesce(la.player.level, 0) < 8 THEN 'level_to'
   WHEN coalesce(la.player.gold, 0) < 20 THEN 'hold_economy' ELSE 'roll_to_gold' END AS action_type
 FROM la LEFT JOIN x ON la.match_id = x.match_id
+""",
+    "record_json_roundtrip": """
+SELECT match_id, CAST(to_json({'match_id': match_id, 'patch': patch, 'set_id': set_id, 'final_placement': final_placement, 'notes': notes, 'schema_version': schema_version}) AS VARCHAR) AS text, true AS same FROM manifests
+""",
+    "vector_model": """
+WITH x AS (SELECT vec_id, embedding, unnest(range(len(embedding))) AS i FROM embeddings)
+SELECT vec_id, round(sum(CAST(embedding[i + 1] AS DOUBLE) / (1 + i)), 5) AS value FROM x GROUP BY vec_id
+""",
+    "detected_events": f"""
+WITH {READINGS},
+n AS (
+  SELECT *, lag(same) OVER w AS before, lag(confidence) OVER w AS earlier, row_number() OVER w AS place FROM o
+  WINDOW w AS (PARTITION BY match_id, kind ORDER BY timestamp_s, observation_id))
+SELECT 'e-' || observation_id AS event_id, match_id, kind || '_changed' AS event_type, CASE WHEN earlier < confidence THEN earlier ELSE confidence END AS confidence, observation_id
+FROM n WHERE place = 1 OR same IS DISTINCT FROM before
+""",
+    "canonical_values": """
+WITH o AS (SELECT kind, coalesce(CAST(try_cast(json_extract_string(value, '$.' || kind) AS DECIMAL(38, 9)) AS VARCHAR), json_extract_string(value, '$.' || kind), '') AS same FROM observations WHERE kind IN ('gold', 'hp', 'level', 'xp'))
+SELECT kind, count(DISTINCT same) AS n_values, count(*) AS n_readings FROM o GROUP BY kind
 """,
 }
