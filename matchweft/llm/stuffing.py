@@ -9,6 +9,7 @@ characters and links outweigh the rest.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,20 +28,21 @@ FUNCTION_WORDS = frozenset(
     """.split()
 )
 REPEATS, NEAR, STUFFED, SPAM_SHARE = 5, 7, 0.25, 0.5
+SEPARATORS = ",;|•·/>#"
 THEME, LEAST_CHARS, LEAST_WORDS = 0.6, 40, 6
 
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t"})
 _INVISIBLE = regex.compile(r"[\p{Cf}�]")
-_MARKUP = regex.compile(r"(?i)</?(?:p|s|div|span|br|b|i|u|em|strong|ul|ol|li|h\d|td|tr|table|body|html)\b[^>]*>|<\|[^|>]{1,30}\|>|\[(?:UNK|PAD|CLS|SEP|MASK)\]|&[a-z]{2,6};")
-_LINK = regex.compile(r"(?i)<a\s[^>]*>[^<]*(?:</a>)?|\[[^\[\]]{0,200}\]\([^()\s]*\)|(?:https?|hxxps?|ftp)\s?:\s?//\S+|www\.\S+")
-_NOISE = regex.compile(r"[A-Za-z0-9+/=_]{40,}")
+_MARKUP = re.compile(r"(?i)</?(?:p|s|div|span|br|b|i|u|em|strong|ul|ol|li|h\d|td|tr|table|body|html)\b[^>]*>|<\|[^|>]{1,30}\|>|\[(?:UNK|PAD|CLS|SEP|MASK)\]|&[a-z]{2,6};")
+_LINK = re.compile(r"(?i)<a\s[^>]*>[^<]*(?:</a>)?|\[[^\[\]]{0,200}\]\([^()\s]*\)|(?:https?|hxxps?|ftp)\s?:\s?//\S+|www\.\S+")
+_NOISE = re.compile(r"[A-Za-z0-9+/=_]{40,}")
 _CUT = regex.compile(r"[\r\n]+|(?<=[.!?…。！？](?:[\"'»”)]|))\s+|(?<=[。！？…])")
 _TOKEN = regex.compile(r"[\p{L}\p{M}][\p{L}\p{M}\p{N}@$]*|\p{N}[\p{L}\p{N}@$]*")
 _SPEAKER = regex.compile(r"^\W{0,3}[\p{L}\p{N}_]{0,12}[ \t]*[\p{N}]{0,3}\s?:\s?[\p{L}\p{N}_]{0,3}")
 _TAG = regex.compile(r"[\p{L}@]\w{0,9}:[\p{L}\p{N}@$]|#\w|\[[\w@$ -]+\]\s")
-_RECORDER = regex.compile(r"->|\w=\S|^\s*\[\d+-\d+\]|^\s*[{\[]\s*\"|\"\s*:\s*[\"{\[\d]|^\s*\d+(?:\.\d+)?s?\s+[a-z]+_[a-z]+|\b[a-z]+_[a-z]+\b.*\d")
+_RECORDER = re.compile(r"->|\w=\S|^\s*\[\d+-\d+\]|^\s*[{\[]\s*\"|\"\s*:\s*[\"{\[\d]|^\s*\d+(?:\.\d+)?s?\s+[a-z]+_[a-z]+|\b[a-z]+_[a-z]+\b.*\d")
 _OTHER_SCRIPT = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Hangul}]")
-_ENDED = regex.compile(r"[.!?…。！？][\"'»”)\s]*$")
+_ENDED = re.compile(r"[.!?…。！？][\"'»”)\s]*$")
 
 
 def words_of(text: str) -> list[str]:
@@ -56,46 +58,48 @@ class SuffixAutomaton:
     """The suffix automaton of a sequence of words with, for each state, its occurrences and the first and last place where it ends."""
 
     def __init__(self, sequence: list[int]) -> None:
-        self.link, self.length, self.moves = [-1], [0], [{}]
-        link, length, moves = self.link, self.length, self.moves
-        self.count, self.first, self.last = [0], [-1], [-1]
-        state, self.prefix = 0, []
+        room = 2 * len(sequence) + 1
+        link, length, first, last, count = [-1] * room, [0] * room, [-1] * room, [-1] * room, [0] * room
+        moves: list[dict[int, int]] = [{}]
+        prefix = []
+        state, size = 0, 1
         for at, symbol in enumerate(sequence):
-            new = len(link)
-            link.append(0)
-            length.append(length[state] + 1)
+            new = size
+            size += 1
             moves.append({})
-            self.count.append(1)
-            self.first.append(at)
-            self.last.append(at)
+            length[new] = length[state] + 1
+            first[new] = last[new] = at
+            count[new] = 1
             p = state
             while p != -1 and symbol not in moves[p]:
                 moves[p][symbol] = new
                 p = link[p]
-            if p != -1:
+            if p == -1:
+                link[new] = 0
+            else:
                 q = moves[p][symbol]
                 if length[p] + 1 == length[q]:
                     link[new] = q
                 else:
-                    copy = len(link)
-                    link.append(link[q])
-                    length.append(length[p] + 1)
-                    moves.append(dict(moves[q]))
-                    self.count.append(0)
-                    self.first.append(self.first[q])
-                    self.last.append(-1)
+                    copy = size
+                    size += 1
+                    moves.append(moves[q].copy())
+                    link[copy], length[copy], first[copy] = link[q], length[p] + 1, first[q]
                     while p != -1 and moves[p].get(symbol) == q:
                         moves[p][symbol] = copy
                         p = link[p]
                     link[q] = link[new] = copy
             state = new
-            self.prefix.append(new)
-        for s in sorted(range(1, len(link)), key=length.__getitem__, reverse=True):
+            prefix.append(new)
+        for s in sorted(range(1, size), key=length.__getitem__, reverse=True):
             up = link[s]
             if up > 0:
-                self.count[up] += self.count[s]
-                self.first[up] = min(self.first[up], self.first[s])
-                self.last[up] = max(self.last[up], self.last[s])
+                count[up] += count[s]
+                if first[s] < first[up]:
+                    first[up] = first[s]
+                if last[s] > last[up]:
+                    last[up] = last[s]
+        self.link, self.length, self.first, self.last, self.count, self.moves, self.prefix = link, length, first, last, count, moves, prefix
 
     def dense_cover(self, telling: list[bool], repeats: int = REPEATS, near: int = NEAR) -> tuple[list[bool], int]:
         """Places covered by a repeat of two words or more, one of them telling, that comes at least ``repeats`` times with at most ``near`` words from one to the next on average; and how often the commonest of these comes."""
@@ -104,17 +108,18 @@ class SuffixAutomaton:
         for t in telling:
             told.append(told[-1] + t)
         cover, most = [0] * (n + 1), 0
+        length, count, first, last, link = self.length, self.count, self.first, self.last, self.link
         for at, s in enumerate(self.prefix):
-            while s > 0 and self.length[s] >= 2:
-                times = self.count[s]
-                if times >= repeats and self.last[s] - self.first[s] <= near * (times - 1):
-                    start = at + 1 - self.length[s]
+            while s > 0 and length[s] >= 2:
+                times = count[s]
+                if times >= repeats and last[s] - first[s] <= near * (times - 1):
+                    start = at + 1 - length[s]
                     if told[at + 1] > told[start]:
                         cover[start] += 1
                         cover[at + 1] -= 1
                         most = max(most, times)
                         break
-                s = self.link[s]
+                s = link[s]
         out, depth = [], 0
         for d in cover[:n]:
             depth += d
@@ -122,20 +127,18 @@ class SuffixAutomaton:
         return out, most
 
 
-def _has_clause(segment: str, words: list[str]) -> bool:
-    """A sentence, a remark or a recorder line, as against items of a list."""
-    tags = len(_TAG.findall(segment + " "))
-    if tags >= 3 and tags * 3 >= len(words):
-        return False
-    if _RECORDER.search(segment) or _SPEAKER.match(segment):
-        return True
-    letters = sum(map(len, words)) or 1
-    if len(_OTHER_SCRIPT.findall(segment)) * 10 >= letters:
+def _has_clause(segment: str, words: list[str], told: bool) -> bool:
+    """A sentence, a remark or a recorder line (``told``), as against items of a list."""
+    if ":" in segment or "#" in segment or "[" in segment:
+        tags = len(_TAG.findall(segment + " "))
+        if tags >= 3 and tags * 3 >= len(words):
+            return False
+    if told or not words:
         return True
-    if not words:
+    if not segment.isascii() and len(_OTHER_SCRIPT.findall(segment)) * 10 >= sum(map(len, words)):
         return True
     function = sum(w in FUNCTION_WORDS for w in words)
-    items = len(regex.findall(r"[,;|•·/>#]", segment))
+    items = sum(map(segment.count, SEPARATORS))
     if items * 3 >= len(words) and function * 8 < len(words):
         return False
     return function * 9 >= len(words) or (bool(_ENDED.search(segment)) and len(words) <= 14 and items <= 2)
@@ -145,10 +148,11 @@ def spam_share(text: str | None) -> tuple[float, float, float, int]:
     """Of the page's characters: the share of listed, stuffed and linked matter together, the share covered by dense repeats, the share of links, and the number of words."""
     if not text:
         return 0.0, 0.0, 0.0, 0
-    text = _MARKUP.sub(" ", _INVISIBLE.sub("", text))
-    links = sum(len(m.group()) for m in _LINK.finditer(text))
-    n_links = len(_LINK.findall(text))
-    text = _NOISE.sub(" ", _LINK.sub(" ", text))
+    text = text if text.isascii() else _INVISIBLE.sub("", text)
+    text = _MARKUP.sub(" ", text) if "<" in text or "[" in text or "&" in text else text
+    found = [len(m.group()) for m in _LINK.finditer(text)]
+    links, n_links = sum(found), len(found)
+    text = _NOISE.sub(" ", _LINK.sub(" ", text) if found else text)
     segments = [s for s in _CUT.split(text) if s and not s.isspace()]
     words = [words_of(s) for s in segments]
     ids: dict[str, int] = {}
@@ -160,15 +164,14 @@ def spam_share(text: str | None) -> tuple[float, float, float, int]:
     covered, most = [False] * len(flat), 0
     if len(flat) >= 2 * REPEATS:
         covered, most = SuffixAutomaton(sequence).dense_cover([x not in FUNCTION_WORDS and not x.isnumeric() for x in flat])
-    clauses = [_has_clause(s, w) for s, w in zip(segments, words)]
+    told = [bool(_SPEAKER.match(s) or _RECORDER.search(s)) for s in segments]
+    clauses = [_has_clause(s, w, t) for s, w, t in zip(segments, words, told)]
     if most < THEME * sum(clauses):  # prose whose sentences are built alike repeats itself too, but has no phrase that most of it is about
         covered = [False] * len(flat)
     spam = good = repeated = 0
-    for segment, w, (a, b), clause in zip(segments, words, spans, clauses):
+    for segment, (a, b), clause, remark in zip(segments, spans, clauses, told):
         size = len(segment.strip())
-        cover = sum(covered[a:b])
-        told = _RECORDER.search(segment) or (clause and _SPEAKER.match(segment))
-        stuffed = b > a and cover >= STUFFED * (b - a) and not told
+        stuffed = b > a and sum(covered[a:b]) >= STUFFED * (b - a) and not (remark and clause)
         repeated += size if stuffed else 0
         if stuffed or not clause:
             spam += size
