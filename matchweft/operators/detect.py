@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.jsonvalue import canonical_object, json_fields
+from ..functions.jsonvalue import canonical_object
 from .gates import confident
-from .order import differs, in_match
+from .order import differs, scan
 
 #: The event that tells of a change of each kind of reading.
 EVENT_OF_KIND = {"gold": "gold_changed", "hp": "hp_changed", "level": "level_changed", "xp": "xp_changed", "shop": "shop_changed"}
@@ -24,10 +24,10 @@ def detect_events(observations: DataFrame, least: float = EVENT_FLOOR) -> DataFr
     values. An event's confidence is the lower of the two. The first reading of a match is an event.
     Re-sent observations are one.
     """
-    w = in_match("timestamp_s", "observation_id", "kind")
-    rows = observations.where(F.col("kind").isin(*EVENT_OF_KIND) & confident(F.col("confidence"), least) & (F.size(F.map_keys(json_fields(F.col("value")))) > 0))
-    rows = rows.dropDuplicates(["match_id", "kind", "timestamp_s", "observation_id"]).withColumn("same", canonical_object(F.col("value"), ["ocr_score"]))
-    rows = rows.withColumn("before", F.lag(F.struct("same", "value", "confidence")).over(w)).where(differs(F.col("same"), F.col("before.same")))
+    rows = observations.where(F.col("kind").isin(*EVENT_OF_KIND) & confident(F.col("confidence"), least))
+    rows = rows.dropDuplicates(["match_id", "kind", "timestamp_s", "observation_id"]).withColumn("same", canonical_object(F.col("value"), ["ocr_score"])).where("same <> ''")
+    rows = scan(rows, ["match_id", "kind"], "timestamp_s", "observation_id", {"b": ("before", F.struct("same", "value", "confidence"))}).withColumn("before", F.col("b.v"))
+    rows = rows.where(differs(F.col("same"), F.col("before.same")))
     kinds = F.create_map(*[F.lit(x) for kv in EVENT_OF_KIND.items() for x in kv])
     return rows.select(
         F.concat(F.lit("e-"), "observation_id").alias("event_id"), "match_id", "timestamp_s",

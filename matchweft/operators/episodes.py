@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .order import differs, in_match, so_far
+from .order import differs, scan
 
 ROLLDOWN = ("refresh_shop", "buy_unit", "sell_unit")
 
 
 def episodes_by_run(events: DataFrame, kind: str = "event_type", time: str = "timestamp_s", id_: str = "event_id") -> DataFrame:
     """Stretches of events of one kind: match_id, episode_no, kind, n_events, start and end time, first id."""
-    w = in_match(time, id_)
-    new = differs(F.col(kind), F.lag(kind).over(w)) | (F.row_number().over(w) == 1)
-    rows = events.withColumn("new", new.cast("bigint")).withColumn("episode_no", F.sum("new").over(so_far(w)))
+    rows = scan(events.select("match_id", kind, time, id_), ["match_id"], time, id_, {"b": ("before", F.col(kind))})
+    new = F.col("b").isNull() | differs(F.col(kind), F.col("b.v"))
+    rows = scan(rows.withColumn("new", F.when(new, 1)).drop("b"), ["match_id"], time, id_, {"episode_no": ("count", F.col("new"))})
     return rows.groupBy("match_id", "episode_no", kind).agg(F.count(F.lit(1)).alias("n_events"), F.min(time).alias("start_timestamp_s"), F.max(time).alias("end_timestamp_s"), F.min_by(id_, F.struct(time, id_)).alias("first_id"))
 
 
 def rolldowns(events: DataFrame, gap_s: float) -> DataFrame:
     """Refresh, buy and sell events with less than the gap between them, as ROLLDOWN episodes."""
-    w = in_match()
-    rows = events.where(F.col("event_type").isin(*ROLLDOWN))
-    new = F.coalesce((F.col("timestamp_s") - F.lag("timestamp_s").over(w) >= gap_s).cast("bigint"), F.lit(1))
-    rows = rows.withColumn("new", new).withColumn("episode_no", F.sum("new").over(so_far(w)))
+    rows = events.where(F.col("event_type").isin(*ROLLDOWN)).select("match_id", "timestamp_s", "event_id", "confidence")
+    rows = scan(rows, ["match_id"], "timestamp_s", "event_id", {"b": ("before", F.col("timestamp_s"))})
+    new = F.when(F.col("b").isNull() | (F.col("timestamp_s") - F.col("b.v") >= gap_s), 1)
+    rows = scan(rows.withColumn("new", new).drop("b"), ["match_id"], "timestamp_s", "event_id", {"episode_no": ("count", F.col("new"))})
     return rows.groupBy("match_id", "episode_no").agg(F.count(F.lit(1)).alias("n_events"), F.min("timestamp_s").alias("start_timestamp_s"), F.max("timestamp_s").alias("end_timestamp_s"), F.min("confidence").alias("confidence"))
 
 
@@ -43,8 +43,9 @@ def actions_of_episodes(decisions: DataFrame) -> DataFrame:
     return decisions.dropDuplicates(["decision_id"]).select("decision_id", "match_id", F.posexplode("action_ids").alias("action_pos", "action_id")).where("action_id is not null").withColumn("action_pos", F.col("action_pos").cast("bigint"))
 
 
-def overlapping_states(decisions: DataFrame) -> DataFrame:
-    """Successive episodes of a match that overlap the one before."""
-    ok = decisions.where("start_timestamp_s <= end_timestamp_s").dropDuplicates(["decision_id"])
-    w = Window.partitionBy("match_id").orderBy("start_timestamp_s", "decision_id").rowsBetween(Window.unboundedPreceding, -1)
-    return ok.withColumn("busy_until", F.max("end_timestamp_s").over(w)).where("start_timestamp_s < busy_until").select("match_id", "decision_id")
+def overlapping_episodes(decisions: DataFrame) -> DataFrame:
+    """Episodes of a match that start before one that started earlier has ended."""
+    ok = decisions.where("start_timestamp_s <= end_timestamp_s").dropDuplicates(["decision_id"]).select("match_id", "decision_id", "start_timestamp_s", "end_timestamp_s")
+    rows = scan(ok, ["match_id"], "start_timestamp_s", "decision_id", {"b": ("min", -F.col("end_timestamp_s"))})
+    rows = scan(rows, ["match_id"], "start_timestamp_s", "decision_id", {"busy": ("before", -F.col("b"))})
+    return rows.where("start_timestamp_s < busy.v").select("match_id", "decision_id")

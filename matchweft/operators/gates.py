@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .order import differs, in_match
+from .order import differs, scan
 
 
 def confident(confidence: Column, least: float) -> Column:
@@ -38,23 +38,23 @@ def keyframes(records: DataFrame, every_s: float = 10, time: str = "timestamp_s"
 
 def changes(records: DataFrame, value: str, time: str = "timestamp_s", id_: str = "observation_id", within: tuple[str, ...] = ()) -> DataFrame:
     """Records whose value differs from the one before in the match; the first one does."""
-    w = in_match(time, id_, *within)
-    return records.withColumn("__b", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | differs(F.col(value), F.col("__b"))).drop("__b", "__n")
+    rows = scan(records, ["match_id", *within], time, id_, {"__b": ("before", F.col(value))})
+    return rows.where(F.col("__b").isNull() | differs(F.col(value), F.col("__b.v"))).drop("__b")
 
 
 def confirmed(records: DataFrame, value: str, frames: int = 2, time: str = "timestamp_s", id_: str = "observation_id", within: tuple[str, ...] = ("kind",)) -> DataFrame:
     """Records that are at least the n-th in a row with the same value in their match (and kind)."""
-    w = in_match(time, id_, *within)
-    rows = records
-    same = F.lit(True)
-    for i in range(1, frames):
-        rows = rows.withColumn(f"__p{i}", F.lag(F.struct(value), i).over(w))
-        same = same & F.coalesce(F.col(f"__p{i}")[value].eqNullSafe(F.col(value)) & F.col(f"__p{i}").isNotNull(), F.lit(False))
-    return rows.where(same).drop(*[f"__p{i}" for i in range(1, frames)])
+    keys = ["match_id", *within]
+    rows = scan(records, keys, time, id_, {"__b": ("before", F.col(value))})
+    new = F.col("__b").isNull() | differs(F.col(value), F.col("__b.v"))
+    if frames == 2:
+        return rows.where(~new).drop("__b")
+    # A record's place in its stretch: its number less that of the record that began it.
+    rows = scan(rows.withColumn("__new", new), keys, time, id_, {"__i": ("count", F.lit(1))})
+    rows = scan(rows, keys, time, id_, {"__start": ("last", F.when(F.col("__new"), F.col("__i")))})
+    return rows.where(F.col("__i") - F.col("__start") + 1 >= frames).drop("__b", "__new", "__i", "__start")
 
 
 def first_confirmation(records: DataFrame, value: str, frames: int = 2, time: str = "timestamp_s", id_: str = "observation_id") -> DataFrame:
     """One record for each confirmed stretch: the one that completes the confirmation."""
-    rows = confirmed(records, value, frames, time, id_)
-    w = Window.partitionBy("match_id", "kind").orderBy(time, id_)
-    return rows.withColumn("__b", F.lag(value).over(w)).withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | differs(F.col(value), F.col("__b"))).drop("__b", "__n")
+    return changes(confirmed(records, value, frames, time, id_), value, time, id_, ("kind",))

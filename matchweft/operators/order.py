@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 
+#: Seconds of a match that one task scans at a time.
+CHUNK_S = 3_600
+
+
 def in_match(time: str = "timestamp_s", id_: str = "event_id", *more: str) -> WindowSpec:
     """The canonical order of a match's records: by time, ties by id."""
     return Window.partitionBy("match_id", *more).orderBy(time, id_)
@@ -30,18 +34,67 @@ def latest(df: DataFrame, key: str, time: str, id_: str) -> DataFrame:
     return df.groupBy(key).agg(best.alias("r")).select("r.*")
 
 
+def scan(df: DataFrame, keys: list[str], time: str, id_: str, running: dict[str, tuple[str, Column]], backwards: bool = False, chunk_s: int = CHUNK_S) -> DataFrame:
+    """Running values along each key's order (time, then id), with no key in one task.
+
+    ``running`` names new columns, each a kind and an expression: ``last`` (the last value so far
+    that is not null), ``sum``, ``count`` (of values that are not null), ``min``, or ``before``
+    (a struct ``v`` of the row before, null for the first row). ``backwards`` runs from the end.
+
+    Rows are scanned within (key, hour); what the hours before bring in comes from one row for
+    each (key, hour), made by a partial aggregate, and is joined to the hour. Rows whose time is
+    null or not finite are an hour of their own, in front.
+    """
+    t = F.col(time)
+    chunk = F.when(t.between(-1e15, 1e15), F.floor(t / chunk_s)).cast("bigint")
+    rows = df.select("*", chunk.alias("__c"), *[x.alias(f"__x_{n}") for n, (_, x) in running.items()])
+    ways = [F.desc_nulls_last(c) for c in (time, id_)] if backwards else [F.asc_nulls_first(c) for c in (time, id_)]
+    w = Window.partitionBy(*keys, "__c").orderBy(*ways)
+    upto = so_far(w)
+    far = F.max_by if not backwards else F.min_by
+    order = F.struct(time, id_)
+    hours = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__c") if backwards else F.asc_nulls_first("__c"))
+    earlier = hours.rowsBetween(Window.unboundedPreceding, -1)
+    here, totals, carried, joined = [], [], [], []
+    for n, (kind, _) in running.items():
+        x = F.col(f"__x_{n}")
+        if kind == "before":
+            here.append(F.lag(F.struct(x.alias("v"))).over(w))
+            totals.append(far(F.struct(x.alias("v")), order))
+            carried.append(F.lag(f"__t_{n}").over(hours))
+            joined.append(F.coalesce(f"__h_{n}", f"__b_{n}"))
+        elif kind == "last":
+            here.append(F.last(x, ignorenulls=True).over(upto))
+            totals.append(far(x, F.when(x.isNotNull(), order)))
+            carried.append(F.last(f"__t_{n}", ignorenulls=True).over(earlier))
+            joined.append(F.coalesce(f"__h_{n}", f"__b_{n}"))
+        else:
+            made = {"sum": F.sum, "count": F.count, "min": F.min}[kind]
+            here.append(made(x).over(upto))
+            totals.append(made(x))
+            carried.append((F.min if kind == "min" else F.sum)(f"__t_{n}").over(earlier))
+            joined.append(F.least(f"__h_{n}", f"__b_{n}") if kind == "min" else F.col(f"__h_{n}") + F.coalesce(f"__b_{n}", F.lit(0)) if kind == "count" else F.coalesce(F.col(f"__h_{n}") + F.col(f"__b_{n}"), f"__h_{n}", f"__b_{n}"))
+    names = list(running)
+    inside = rows.select("*", *[c.alias(f"__h_{n}") for n, c in zip(names, here)])
+    hourly = rows.groupBy(*keys, "__c").agg(*[c.alias(f"__t_{n}") for n, c in zip(names, totals)])
+    brought = hourly.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__c").alias("__kc"), *[c.alias(f"__b_{n}") for n, c in zip(names, carried)])
+    same = F.col("__c").eqNullSafe(F.col("__kc"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return inside.join(brought, same, "left").select(*df.columns, *[c.alias(n) for n, c in zip(names, joined)])
+
+
 def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str, take: list[str]) -> DataFrame:
     """Left rows with columns of the last right row at or before their time; null where there is none.
 
-    Both sides are put in one order and the last right row is carried forward: one shuffle
-    on the key and one sort, with no range join. A right row at the same time counts. Left
-    rows without a key or time get nulls.
+    Both sides are put in one order and the last right row is carried forward by ``scan``, so
+    there is no range join and no key in one task. A right row at the same time counts. Left
+    rows without a key or a finite time get nulls.
     """
-    l_side = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__left"), F.lit(None).cast("string").alias("__id"))
-    r_value = F.struct(*take).alias("__right")
-    r_side = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull() & ~F.isnan(right_time)).select(F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.col(right_id).cast("string").alias("__id"), r_value)
+    l_side = left.select(F.col(key).alias("__k"), F.col(left_time).alias("__t"), F.lit("1").alias("__id"), F.struct(*left.columns).alias("__left"))
+    usable = F.col(key).isNotNull() & F.col(right_time).between(-1e15, 1e15)
+    r_side = right.where(usable).select(F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.concat(F.lit("0"), F.col(right_id).cast("string")).alias("__id"), F.struct(*take).alias("__right"))
     both = l_side.unionByName(r_side, allowMissingColumns=True)
-    w = Window.partitionBy("__k").orderBy("__t", "__side", "__id").rowsBetween(Window.unboundedPreceding, 0)
-    carried = both.withColumn("__right", F.last("__right", ignorenulls=True).over(w)).where("__side = 1")
-    usable = F.col("__k").isNotNull() & F.col("__t").isNotNull() & ~F.isnan("__t")
-    return carried.select("__left.*", *[F.when(usable, F.col(f"__right.{c}")).alias(c) for c in take])
+    carried = scan(both, ["__k"], "__t", "__id", {"__found": ("last", F.col("__right"))}).where("__left is not null")
+    fine = F.col("__k").isNotNull() & F.col("__t").between(-1e15, 1e15)
+    return carried.select("__left.*", *[F.when(fine, F.col(f"__found.{c}")).alias(c) for c in take])

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..contracts import ATOMIC_ACTIONS
-from .order import in_match
+from .order import scan
 
 
 def transition_links(states: DataFrame) -> DataFrame:
     """Each state with the next one of its match; the last one is done. Re-sent states are one."""
-    w = in_match("timestamp_s", "state_id")
-    rows = states.dropDuplicates(["match_id", "timestamp_s", "state_id"])
-    following = F.lead("state_id").over(w)
-    return rows.select("match_id", "state_id", "timestamp_s", following.alias("next_state_id"), following.isNull().alias("done"))
+    rows = states.dropDuplicates(["match_id", "timestamp_s", "state_id"]).select("match_id", "state_id", "timestamp_s")
+    rows = scan(rows, ["match_id"], "timestamp_s", "state_id", {"n": ("before", F.col("state_id"))}, backwards=True)
+    return rows.select("match_id", "state_id", "timestamp_s", F.col("n.v").alias("next_state_id"), F.col("n").isNull().alias("done"))
 
 
 def atomic_actions(samples: DataFrame) -> DataFrame:

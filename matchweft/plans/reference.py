@@ -188,7 +188,7 @@ def episode_actions(spark, sf):
 
 
 def episode_overlaps(spark, sf):
-    return episodes.overlapping_states(table(spark, sf, "decisions"))
+    return episodes.overlapping_episodes(table(spark, sf, "decisions"))
 
 
 def action_projection(spark, sf):

@@ -50,7 +50,7 @@ READINGS = """o AS (
   SELECT DISTINCT observation_id, match_id, kind, timestamp_s, confidence,
     CASE WHEN kind = 'shop' THEN coalesce(CAST(try_cast(json_extract_string(value, '$.slot') AS DECIMAL(38, 9)) AS VARCHAR), '') || '/' || coalesce(lower(json_extract_string(value, '$.champion_id')), '')
       ELSE CAST(try_cast(json_extract_string(value, '$.' || kind) AS DECIMAL(38, 9)) AS VARCHAR) END AS same
-  FROM observations WHERE kind IN ('gold', 'hp', 'level', 'xp', 'shop') AND confidence >= CAST(0.7 AS DOUBLE) AND len(json_keys(CAST(value AS JSON))) > 0)"""
+  FROM observations WHERE kind IN ('gold', 'hp', 'level', 'xp', 'shop') AND confidence >= CAST(0.7 AS DOUBLE) AND len(json_keys(CAST(value AS JSON))) > CASE WHEN json_extract_string(value, '$.ocr_score') IS NULL THEN 0 ELSE 1 END)"""
 _LATEST = "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY timestamp_s DESC, state_id DESC, ingested_at) AS pick FROM game_states) WHERE pick = 1)"
 
 ORACLES = {
