@@ -51,6 +51,64 @@ READINGS = """o AS (
     CASE WHEN kind = 'shop' THEN coalesce(CAST(try_cast(json_extract_string(value, '$.slot') AS DECIMAL(38, 9)) AS VARCHAR), '') || '/' || coalesce(lower(json_extract_string(value, '$.champion_id')), '')
       ELSE CAST(try_cast(json_extract_string(value, '$.' || kind) AS DECIMAL(38, 9)) AS VARCHAR) END AS same
   FROM observations WHERE kind IN ('gold', 'hp', 'level', 'xp', 'shop') AND confidence >= CAST(0.7 AS DOUBLE) AND len(json_keys(CAST(value AS JSON))) > CASE WHEN json_extract_string(value, '$.ocr_score') IS NULL THEN 0 ELSE 1 END)"""
+
+
+def _flat_tests() -> list[tuple[str, str, str]]:
+    """(table, code, condition) for the fields of the tables themselves."""
+    required = {
+        "observations": "observation_id match_id timestamp_s kind value confidence evidence_ids producer_version schema_version",
+        "game_states": "state_id match_id timestamp_s phase player shop board bench inventory augments active_traits observed_opponents source_event_ids confidence reducer_version schema_version",
+        "decisions": "decision_id match_id decision_type start_timestamp_s end_timestamp_s state_before_id event_ids action_ids summary confidence extractor_version schema_version",
+        "transitions": "match_id state_id action timestamp_s done action_mask state_confidence action_confidence schema_version",
+        "manifests": "match_id started_at versions schema_version",
+    }
+    tests = [(t, f"{c}:null", f"{c} IS NULL") for t, names in required.items() for c in names.split()]
+    least = {"game_states": {"stage": 1, "round": 1, "player.hp": 0, "player.gold": 0, "player.level": 1, "player.xp": 0, "schema_version": 1}, "transitions": {"action.schema_version": 1}}
+    tests += [(t, f"{c}:range", f"{c} < {n}") for t, fields in least.items() for c, n in fields.items()]
+    shares = {"observations": ["confidence"], "game_states": ["confidence"], "decisions": ["confidence"], "transitions": ["state_confidence", "action_confidence"]}
+    tests += [(t, f"{c}:range", f"{c} < 0 OR {c} > 1") for t, names in shares.items() for c in names]
+    seconds = {"observations": ["timestamp_s"], "game_states": ["timestamp_s"], "decisions": ["start_timestamp_s", "end_timestamp_s"], "transitions": ["timestamp_s"]}
+    endless = "({c} = CAST('Infinity' AS DOUBLE) OR {c} = CAST('-Infinity' AS DOUBLE))"
+    for t, names in seconds.items():
+        for c in names:
+            tests.append((t, f"{c}:finite", endless.format(c=c)))
+            tests.append((t, f"{c}:range", f"NOT {endless.format(c=c)} AND (NOT isfinite({c}) OR {c} < 0)"))
+    return tests
+
+
+_IN_BOARDS = """
+g AS (SELECT row_number() OVER () AS r, * FROM game_states),
+o AS (SELECT r, unnest(observed_opponents) AS x FROM g),
+u AS (
+  SELECT r, 'board[]' AS place, unnest(board) AS x FROM g UNION ALL SELECT r, 'bench[]' AS place, unnest(bench) AS x FROM g
+  UNION ALL SELECT r, 'observed_opponents[].board[]' AS place, unnest(x.board) AS x FROM o WHERE x IS NOT NULL),
+i AS (
+  SELECT r, place || '.items[]' AS place, unnest(x.items) AS x FROM u WHERE x IS NOT NULL
+  UNION ALL SELECT r, 'inventory[]' AS place, unnest(inventory) AS x FROM g UNION ALL SELECT r, 'augments[]' AS place, unnest(augments) AS x FROM g
+  UNION ALL SELECT r, 'active_traits[]' AS place, unnest(active_traits) AS x FROM g UNION ALL SELECT r, 'source_event_ids[]' AS place, unnest(source_event_ids) AS x FROM g),
+b AS (
+  SELECT r, place || ':null' AS code FROM u WHERE x IS NULL
+  UNION SELECT r, place || ':null' AS code FROM i WHERE x IS NULL
+  UNION SELECT r, place || '.instance_id:null' AS code FROM u WHERE x IS NOT NULL AND x.instance_id IS NULL
+  UNION SELECT r, place || '.items:null' AS code FROM u WHERE x IS NOT NULL AND x.items IS NULL
+  UNION SELECT r, place || '.confidence:null' AS code FROM u WHERE x IS NOT NULL AND x.confidence IS NULL
+  UNION SELECT r, place || '.confidence:range' AS code FROM u WHERE x.confidence < 0 OR x.confidence > 1
+  UNION SELECT r, place || '.stars:range' AS code FROM u WHERE x.stars < 1 OR x.stars > 4
+  UNION SELECT r, place || '.position.row:range' AS code FROM u WHERE x.position.row < 0
+  UNION SELECT r, place || '.position.col:range' AS code FROM u WHERE x.position.col < 0
+  UNION SELECT r, 'observed_opponents[]:null' AS code FROM o WHERE x IS NULL
+  UNION SELECT r, 'observed_opponents[].player_id:null' AS code FROM o WHERE x IS NOT NULL AND x.player_id IS NULL
+  UNION SELECT r, 'observed_opponents[].board:null' AS code FROM o WHERE x IS NOT NULL AND x.board IS NULL
+  UNION SELECT r, 'observed_opponents[].confidence:null' AS code FROM o WHERE x IS NOT NULL AND x.confidence IS NULL
+  UNION SELECT r, 'observed_opponents[].hp:range' AS code FROM o WHERE x.hp < 0
+  UNION SELECT r, 'observed_opponents[].level:range' AS code FROM o WHERE x.level < 1)
+"""
+_VIOLATIONS = (
+    "WITH " + _IN_BOARDS + "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{code}' AS code, count(*) AS n FROM {t} WHERE {test}" for t, code, test in _flat_tests())
+    + " UNION ALL SELECT 'transitions' AS table_name, 'final_placement:range' AS code, count(*) AS n FROM transitions WHERE final_placement < 1 OR final_placement > 8"
+    + " UNION ALL SELECT 'game_states' AS table_name, code, count(*) AS n FROM b GROUP BY code) WHERE n > 0"
+)
 _LATEST = "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY timestamp_s DESC, state_id DESC, ingested_at) AS pick FROM game_states) WHERE pick = 1)"
 
 ORACLES = {
@@ -214,4 +272,5 @@ FROM n WHERE place = 1 OR same IS DISTINCT FROM before
 WITH o AS (SELECT kind, coalesce(CAST(try_cast(json_extract_string(value, '$.' || kind) AS DECIMAL(38, 9)) AS VARCHAR), json_extract_string(value, '$.' || kind), '') AS same FROM observations WHERE kind IN ('gold', 'hp', 'level', 'xp'))
 SELECT kind, count(DISTINCT same) AS n_values, count(*) AS n_readings FROM o GROUP BY kind
 """,
+    "contract_violations": _VIOLATIONS,
 }
