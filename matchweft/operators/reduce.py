@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .order import in_match, latest, scan, so_far
+from .order import CHUNK_S, in_match, latest, scan, so_far
 
-def reduce_states(events: DataFrame, fields: dict[str, tuple[str, Column]], count_of: str | None = None) -> DataFrame:
+def reduce_states(events: DataFrame, fields: dict[str, tuple[str, Column]], count_of: str | None = None, chunk_s: int = CHUNK_S) -> DataFrame:
     """One state for each event time: the last value of each field and the number of events so far.
 
     ``fields`` gives for each state field the event type that sets it and the value. Rows of
     one match and time collapse to one state, that after the last of them by id. All fields share
-    one scan, which takes a match hour by hour.
+    one scan, which takes a match ``chunk_s`` seconds at a time.
     """
     running = {name: ("last", F.when(F.col("event_type") == kind, value)) for name, (kind, value) in fields.items()}
     counted = F.when(F.col("event_type") == count_of, 1) if count_of else F.lit(1)
     rows = events.select("match_id", "timestamp_s", "event_id", "event_type", F.col("confidence").alias("__confidence"), *[x.alias(f"__{n}") for n, (_, x) in running.items()], counted.alias("__one"))
     values = {n: ("last", F.col(f"__{n}")) for n in running} | {"n_events": ("count", F.col("__one")), "confidence": ("min", F.col("__confidence"))}
-    rows = scan(rows, ["match_id"], "timestamp_s", "event_id", values)
+    rows = scan(rows, ["match_id"], "timestamp_s", "event_id", values, chunk_s=chunk_s)
     # A state for each time: the one after its last event. Events of one time share an hour.
     last = rows.groupBy("match_id", "timestamp_s").agg(F.max_by(F.struct("event_id", *values), "event_id").alias("s"))
     return last.select("match_id", "timestamp_s", "s.*")

@@ -215,7 +215,7 @@ def _typed(x: Column, f: Field, kind: str, path: str, made: bool) -> Column:
     if kind == "int":
         return _codes((~_in_bounds(x, f), f"{path}:range"))
     if kind == "json":
-        return _codes((F.try_parse_json(x).isNull() | ~F.schema_of_variant(F.try_parse_json(x)).startswith("OBJECT"), f"{path}:type"))
+        return _bind(F.try_parse_json(x), lambda v: _codes((v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), f"{path}:type")))
     if kind == "pair":
         return _codes((x["width"].isNull() | x["height"].isNull(), f"{path}:arity"))
     return _none()

@@ -10,6 +10,8 @@ from ..sources.adapters import game_events
 from ..sources.tables import table
 
 KEYFRAME_DAY_S, SESSION_S = 86_400, 21_600
+#: The matches of the events table last a month, with an event every few hours.
+LONG_S = 864_000
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,7 +133,7 @@ def detected_events(spark, sf):
 
 def _reduced(spark, sf):
     events = gates.gate_events(_events(spark, sf))
-    return reduce.reduce_states(events, {"bought": ("buy_unit", F.col("k")), "shop": ("refresh_shop", F.col("k")), "xp": ("purchase_xp", F.col("k"))}, count_of="buy_unit")
+    return reduce.reduce_states(events, {"bought": ("buy_unit", F.col("k")), "shop": ("refresh_shop", F.col("k")), "xp": ("purchase_xp", F.col("k"))}, count_of="buy_unit", chunk_s=LONG_S)
 
 
 def state_reduce_last(spark, sf):
@@ -150,7 +152,7 @@ def state_fold_board(spark, sf):
 def state_latest(spark, sf):
     """The flagship: events, validated, gated, folded to states, and the current state of each match."""
     valid = validate.validate_table(_events(spark, sf), "GameEvent").where(F.size("violations") == 0)
-    states = reduce.reduce_states(gates.gate_events(valid), {"bought": ("buy_unit", F.col("k")), "shop": ("refresh_shop", F.col("k"))}, count_of="buy_unit")
+    states = reduce.reduce_states(gates.gate_events(valid), {"bought": ("buy_unit", F.col("k")), "shop": ("refresh_shop", F.col("k"))}, count_of="buy_unit", chunk_s=LONG_S)
     return order.latest(states, "match_id", "timestamp_s", "event_id").select("match_id", "event_id", "bought", "shop", "n_events")
 
 
@@ -167,11 +169,11 @@ def state_asof_decision(spark, sf):
 
 
 def episode_by_run(spark, sf):
-    return episodes.episodes_by_run(_events(spark, sf)).select("match_id", F.col("episode_no").cast("bigint").alias("episode_no"), "event_type", "n_events", "first_id")
+    return episodes.episodes_by_run(_events(spark, sf), chunk_s=LONG_S).select("match_id", F.col("episode_no").cast("bigint").alias("episode_no"), "event_type", "n_events", "first_id")
 
 
 def episode_rolldown(spark, sf):
-    return episodes.rolldowns(_events(spark, sf), SESSION_S).select("match_id", F.col("episode_no").cast("bigint").alias("episode_no"), "n_events", "confidence")
+    return episodes.rolldowns(_events(spark, sf), SESSION_S, LONG_S).select("match_id", F.col("episode_no").cast("bigint").alias("episode_no"), "n_events", "confidence")
 
 
 def episode_by_gap(spark, sf):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: The event type that stands for each kind of row of the events table.
 EVENT_TYPES = {"click": "refresh_shop", "purchase": "buy_unit", "signup": "purchase_xp", "view": "shop_changed", "error": "unknown"}
@@ -14,11 +14,11 @@ def event_kind(raw: Column) -> Column:
 
 
 def game_events(events: DataFrame) -> DataFrame:
-    """Rows of the events table as GameEvents. Seconds count from the first event of a match; ids are padded, so their order as text is that of the numbers. The original time stays as ``ts``."""
-    start = F.min("ts").over(Window.partitionBy("user_id"))
+    """Rows of the events table as GameEvents. Seconds count from the first event of a match; events without a user belong to none and are left out; ids are padded, so their order as text is that of the numbers. The original time stays as ``ts``."""
+    starts = events.groupBy("user_id").agg(F.min("ts").alias("start"))
     micros = F.expr("timestampdiff(MICROSECOND, start, ts)")
     k = F.get_json_object("props", "$.k").cast("bigint")
-    rows = events.withColumn("start", start).withColumn("k", k)
+    rows = events.join(starts, "user_id").withColumn("k", k)
     return rows.select(
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"),
         F.concat(F.lit("m-"), F.col("user_id").cast("string")).alias("match_id"),
