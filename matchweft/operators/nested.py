@@ -63,18 +63,18 @@ def flatten_boards(states: DataFrame) -> NestedTables:
     )
     at_opponents = hashed.select("state_id", F.posexplode("opponents").alias("opponent_pos", "o")).where("o is not null")
     at_opponents = at_opponents.select("state_id", F.col("opponent_pos").cast("bigint").alias("opponent_pos"), "o.opponent_key", "o.opponent")
-    opponents = at_opponents.dropDuplicates(["opponent_key"]).select("opponent_key", "opponent")
-    opponent_units = opponents.select("opponent_key", F.posexplode("opponent.board").alias("unit_pos", "u")).where("u is not null").select("opponent_key", F.col("unit_pos").cast("bigint").alias("unit_pos"), "u.unit_key", "u.unit")
-    state_units = hashed.select("state_id", F.posexplode("board").alias("unit_pos", "u")).where("u is not null").select("state_id", F.col("unit_pos").cast("bigint").alias("unit_pos"), "u.unit_key", "u.unit")
-    units = state_units.select("unit_key", "unit").unionByName(opponent_units.select("unit_key", "unit")).dropDuplicates(["unit_key"])
-    items = units.select("unit_key", F.posexplode("unit.items").alias("item_pos", "item_id")).select("unit_key", F.col("item_pos").cast("bigint").alias("item_pos"), "item_id").where("item_id is not null")
+    placed = lambda df, key, array: df.select(key, F.posexplode(array).alias("unit_pos", "u")).where("u is not null").select(key, F.col("unit_pos").cast("bigint").alias("unit_pos"), "u.unit_key", "u.unit")
+    state_units, opponent_units = placed(hashed, "state_id", "board"), placed(at_opponents, "opponent_key", "opponent.board")
+    # A key stands for its contents, so nodes are made single by plain distinct rows, which hash without sorting and combine before the shuffle.
+    seen = state_units.select("unit_key", "unit").unionByName(opponent_units.select("unit_key", "unit"))
+    items = seen.select("unit_key", F.posexplode("unit.items").alias("item_pos", "item_id")).where("item_id is not null")
     return NestedTables(
         state_opponents=at_opponents.select("state_id", "opponent_pos", "opponent_key").distinct(),
         state_units=state_units.select("state_id", "unit_pos", "unit_key").distinct(),
-        opponent_units=opponent_units.select("opponent_key", "unit_pos", "unit_key"),
-        unit_items=items,
-        opponents=opponents.select("opponent_key", *[F.col(f"opponent.{c}").alias(c) for c in own]),
-        units=units.select("unit_key", *[F.col(f"unit.{c}").alias(c) for c in _unit_fields(states)]),
+        opponent_units=opponent_units.select("opponent_key", "unit_pos", "unit_key").distinct(),
+        unit_items=items.select("unit_key", F.col("item_pos").cast("bigint").alias("item_pos"), "item_id").distinct(),
+        opponents=at_opponents.select("opponent_key", *[F.col(f"opponent.{c}").alias(c) for c in own]).distinct(),
+        units=seen.select("unit_key", *[F.col(f"unit.{c}").alias(c) for c in _unit_fields(states)]).distinct(),
     )
 
 

@@ -191,3 +191,21 @@ def test_every_state_is_kept_and_marked(states):
     assert impute.fill_states(states.limit(0)).count() == 0
     bare = states.withColumns({"stage": F.lit(None).cast("bigint"), "player": F.lit(None).cast(states.schema["player"].dataType), "timestamp_s": F.lit(None).cast("double"), "match_id": F.lit(None).cast("string")})
     assert impute.fill_states(bare).where("size(filled) >= 3 and stage = 0").count() == out.count()
+
+
+# ---- extra columns
+
+
+def test_further_columns_do_no_harm(spark, states, observations):
+    """Columns with names that the operators use themselves."""
+    names = ["segment", "field", "t", "v", "src", "own", "bad", "clock", "filled", "level", "k", "s", "e", "w", "chunk", "fields", "path", "names", "m", "u", "x", "raw"]
+    extra = {n: F.lit("extra") for n in names}
+    few = states.limit(60)
+    bare = outliers.implausible_readings(observations.limit(300), few)
+    assert outliers.implausible_readings(observations.limit(300).withColumns(extra), few.withColumns(extra)).exceptAll(bare).count() == 0
+    assert impute.fill_states(few.withColumns(extra)).count() == impute.fill_states(few).count()
+    assert nested.item_occurrences(nested.flatten_boards(few.withColumns(extra))).count() == nested.item_occurrences(nested.flatten_boards(few)).count()
+    spans = spark.createDataFrame([("a", 1.0, 2.0)], "match_id string, start_s double, end_s double").withColumns(extra)
+    assert periods.periods_and_gaps(spans, "match_id", "start_s", "end_s").count() == 1
+    raw = _raw(spark, [[{"a": 1}], [{"b": "x"}]]).withColumns({n: x for n, x in extra.items()})
+    assert drift.schema_changes(raw).count() == 2 and drift.unify_records(raw, "observation").count() == 2
