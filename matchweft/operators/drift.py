@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..contracts import contracts
+
 BUCKETS = 256
 SAME_VALUES, SAME_NAME, LIKE_NAME = 0.5, 0.99, 0.5
 _PROFILE = "stream_id string, record_type string, file_no bigint, path string, kind string, n bigint, n_frac bigint, low double, high double, total double, bucket int, n_bucket bigint"
@@ -45,12 +47,16 @@ def _buckets(text: str) -> list[int]:
     return [*out, BUCKETS + zlib.crc32(coarse.encode()) % BUCKETS] if re.search(r"[A-Z9]", coarse) else out
 
 
-def parse_object(payload: str | None) -> dict | None:
-    """The JSON object of a line; None where the line is cut off or no object."""
+def _json(text: str | None) -> object:
     try:
-        value = json.loads(payload)
+        return json.loads(text)
     except (TypeError, ValueError, RecursionError):
         return None
+
+
+def parse_object(payload: str | None) -> dict | None:
+    """The JSON object of a line; None where the line is cut off or no object."""
+    value = _json(payload)
     return value if isinstance(value, dict) else None
 
 
@@ -229,36 +235,49 @@ def compare(old: dict[str, _Node], new: dict[str, _Node], at_old: str = "", at_n
     return out
 
 
-def _follow(names: dict[str, str], changes: list[tuple[str, str, str]]) -> dict[str, str]:
-    """The names of the next file's top-level fields in the one table, from those of this file's."""
-    steps = {new: old for change, old, new in changes if change == "renamed" and "." not in new}
-    gone = {old for change, old, _ in changes if change in ("removed", "renamed") and "." not in old}
-    kept = {k: v for k, v in names.items() if k not in gone}
-    return kept | {new: names.get(old, old) for new, old in steps.items()}
+def _follow(now: dict[str, _Node], changes: list[tuple[str, str, str]], before: dict[str, str], kinds: dict[str, str], contract: dict[str, str]) -> dict[str, str]:
+    """The path in the one table of every path of this file, from those of the file before.
+
+    A renamed field keeps the place it had; so does what lies below it. A new field is placed
+    under its parent. Names of the contract stand for themselves. ``kinds`` gets the JSON
+    type that each place had first.
+    """
+    came_from = {new: old for change, old, new in changes if change == "renamed"}
+    out: dict[str, str] = {}
+
+    def walk(children: dict[str, _Node], at: str, was_at: str, place: str) -> None:
+        for name, node in children.items():
+            old = came_from.get(at + name, was_at + name)
+            out[at + name] = before.get(old, place + name) if at or name not in contract else name
+            kinds.setdefault(out[at + name], contract.get(name, node.kind) if not at else node.kind)
+            step = "[]." if node.kind == "array" else "."
+            walk(node.children, at + name + step, old + step, out[at + name] + step)
+
+    walk(now, "", "", "")
+    return out
 
 
-_STEPS = "stream_id string, record_type string, file_no bigint, fingerprint string, names string, changes array<struct<change:string,old_path:string,new_path:string>>"
+_STEPS = "stream_id string, record_type string, file_no bigint, fingerprint string, rules string, changes array<struct<change:string,old_path:string,new_path:string>>"
 
 
 def _migrate_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    stream, before, mark, names = None, None, None, {}
+    stream, before, names, kinds = None, None, {}, {}
     for df in batches:
         rows = []
         for s, record_type, file_no, fingerprint, fields in df[["stream_id", "record_type", "file_no", "fingerprint", "fields"]].itertuples(index=False):
             if s != stream:
-                stream, before, names = s, None, {}
+                stream, before, names, kinds = s, None, {}, {}
             now = _tree(fields)
             changes = [] if before is None else compare(before, now)
-            contract = CONTRACT_FIELDS.get(record_type, {})
-            names = _follow(names, changes)
-            names = {k: (k if k in contract else names.get(k, k)) for k in now}
-            rows.append((s, record_type, file_no, fingerprint, json.dumps(names), [dict(zip(("change", "old_path", "new_path"), c)) for c in changes]))
+            names = _follow(now, changes, names, kinds, CONTRACT_FIELDS.get(record_type, {}))
+            rules = json.dumps({path: [place, kinds[place]] for path, place in names.items()})
+            rows.append((s, record_type, file_no, fingerprint, rules, [dict(zip(("change", "old_path", "new_path"), c)) for c in changes]))
             before = now
         yield pd.DataFrame(rows, columns=[x.split()[0] for x in _STEPS.split(", ", 5)])
 
 
 def migration_steps(fingerprints: DataFrame) -> DataFrame:
-    """One row for each file: its changes against the file before it in its stream, and ``names``, the chained rename rules (JSON: field in the file to field in the one table).
+    """One row for each file: its changes against the file before it in its stream, and ``rules``, the chained rename and cast rules (JSON: path in the file to path and type in the one table).
 
     Files are walked in order of file_no with only the last fingerprint in memory. The
     first file of a stream has no changes.
@@ -287,7 +306,8 @@ def _cast(value: object, kind: str) -> object:
     if isinstance(value, list) and kind != "array":
         value = value[0] if len(value) == 1 else value
     if kind == "array" and isinstance(value, str):
-        return [x for x in value.split(";") if x]
+        listed = _json(value)
+        return listed if isinstance(listed, list) else [x for x in value.split(";") if x]
     if kind == "number" and isinstance(value, str):
         try:
             return float(value)
@@ -300,33 +320,58 @@ def _cast(value: object, kind: str) -> object:
     return value
 
 
+def _moved(value: object, at: str, rules: dict[str, list[str]]) -> object:
+    """A value with the names and types of the one table, all the way down."""
+    if isinstance(value, dict):
+        out = {}
+        for name, x in value.items():
+            place, kind = rules.get(f"{at}.{name}", [name, None])
+            out[re.split(r"\.", place)[-1]] = _moved(x if kind is None or x is None else _cast(x, kind), f"{at}.{name}", rules)
+        return out
+    if isinstance(value, list):
+        return [_moved(x, at + "[]", rules) if isinstance(x, dict) else x for x in value]
+    return value
+
+
 def unify_records(raw: DataFrame, record_type: str) -> DataFrame:
     """All lines of one record type in one table, whatever the shape of their file.
 
     Columns: stream_id, file_no, line_no, the fields of the contract (numbers as double, objects
     and arrays as JSON text), ``extra`` (JSON of the fields that the contract does not have) and
     ``problem`` (null, ``unreadable`` for a line that is no JSON object, else the fields whose
-    value could not be cast, which are then kept in ``extra``). Every line gives one row.
+    value could not be cast, which are then kept in ``extra``). Every line gives one row. Names
+    and types inside objects are those the stream began with. A field that a file does not have
+    gets the contract's default; one that only a line lacks is null.
     """
     contract = CONTRACT_FIELDS[record_type]
+    model = {"observation": "Observation", "game_state": "GameState"}[record_type]
+    defaults = {f.name: json.loads(f.default) for f in contracts()[model] if f.default not in (None, "null", "{}") and f.name in contract}
     lines = raw.where(F.col("record_type") == record_type)
-    steps = migration_steps(schema_fingerprints(lines)).select("stream_id", "file_no", "names")
+    steps = migration_steps(schema_fingerprints(lines)).select("stream_id", "file_no", "rules")
     schema = "stream_id string, file_no bigint, line_no bigint, " + ", ".join(f"`{k}` {'double' if v == 'number' else 'string'}" for k, v in contract.items()) + ", extra string, problem string"
 
+    def cell(name: str, value: object) -> object:
+        return value if value is None or contract[name] in ("text", "number") else json.dumps(value, sort_keys=True)
+
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
+            known: dict[str, dict] = {}
             rows = []
-            for stream, file_no, line_no, payload, names in df[["stream_id", "file_no", "line_no", "payload", "names"]].itertuples(index=False):
-                record, out, extra, wrong = parse_object(payload), dict.fromkeys(contract), {}, []
-                known = json.loads(names) if isinstance(names, str) else {}
+            for stream, file_no, line_no, payload, text in df[["stream_id", "file_no", "line_no", "payload", "rules"]].itertuples(index=False):
+                if isinstance(text, str) and text not in known:
+                    known[text] = json.loads(text)
+                rules = known.get(text, {}) if isinstance(text, str) else {}
+                there = {place for place, _ in rules.values()}
+                record, extra, wrong = parse_object(payload), {}, []
+                out = {k: cell(k, defaults[k]) if record is not None and k in defaults and k not in there else None for k in contract}
                 for k, v in (record or {}).items():
-                    name = known.get(k, k)
-                    value = _cast(v, contract[name]) if name in contract else v
+                    name = rules.get(k, [k])[0]
+                    value = _moved(_cast(v, contract[name]) if name in contract else v, k, rules)
                     if name not in contract or (value is not None and _kind(value) != contract[name]):
                         extra[name] = v
                         wrong += [name] if name in contract else []
                     else:
-                        out[name] = value if value is None or contract[name] in ("text", "number") else json.dumps(value, sort_keys=True)
+                        out[name] = cell(name, value)
                 problem = "unreadable" if record is None else ",".join(sorted(wrong)) or None
                 rows.append((stream, file_no, line_no, *out.values(), json.dumps(extra, sort_keys=True) if extra else None, problem))
             frame = pd.DataFrame(rows, columns=["stream_id", "file_no", "line_no", *contract, "extra", "problem"])

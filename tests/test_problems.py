@@ -113,6 +113,15 @@ def test_one_table_for_all_shapes(spark):
     rows = drift.unify_records(_raw(spark, files), "observation").where("file_no = 1").orderBy("line_no").collect()
     assert [(r["observation_id"], r["match_id"], r["confidence"], r["evidence_ids"], r["extra"], r["problem"]) for r in rows[:1]] == [("o0", "m-0", 0.5, '["ev-1", "ev-2"]', '{"mood": 1}', None)]
     assert drift.unify_records(_raw(spark, files), "observation").where("problem = 'unreadable'").count() == 1
+    states = [
+        [{"state_id": "s0", "phase": "pve", "player": {"hp": 5, "gold": 7}, "board": [{"stars": n, "items": ["A"]} for n in (2, 1, 3)], "confidence": 0.5}] * 6,
+        [{"state_id": "s1", "phase": "pve", "me": {"hp": "5", "gold": {"v": 7, "src": "auto"}}, "board": [{"tier": n, "items": ["A"]} for n in (2, 1, 3)], "confidence": 0.5}] * 6,
+        [{"state_id": "s2", "me": {"hp": "6", "gold": {"v": 7, "src": "auto"}}, "board": [{"tier": n, "items": ["B"]} for n in (2, 1, 3)], "confidence": 0.5}] * 6,
+    ]
+    rows = drift.unify_records(_raw(spark, states, kind="game_state"), "game_state").where("line_no = 0").orderBy("file_no").collect()
+    assert [r["player"] for r in rows] == ['{"gold": 7, "hp": 5}', '{"gold": 7, "hp": 5.0}', '{"gold": 7, "hp": 6.0}']
+    assert json.loads(rows[2]["board"])[0] == {"stars": 2, "items": ["B"]}
+    assert [(r["phase"], r["extra"]) for r in rows] == [("pve", None), ("pve", None), ("unknown", None)]
     empty = _raw(spark, files).limit(0)
     assert drift.schema_changes(empty).count() == 0 and drift.unify_records(empty, "game_state").count() == 0
 
