@@ -273,4 +273,11 @@ WITH o AS (SELECT kind, coalesce(CAST(try_cast(json_extract_string(value, '$.' |
 SELECT kind, count(DISTINCT same) AS n_values, count(*) AS n_readings FROM o GROUP BY kind
 """,
     "contract_violations": _VIOLATIONS,
+    "stream_states": """
+WITH x AS (SELECT 'm-' || CAST(user_id AS VARCHAR) AS match_id, event_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+g AS (SELECT match_id, k FROM (SELECT match_id, k, row_number() OVER (PARTITION BY match_id ORDER BY ts DESC, event_id DESC) AS n FROM x WHERE event_type = 'purchase') WHERE n = 1),
+h AS (SELECT match_id, k FROM (SELECT match_id, k, row_number() OVER (PARTITION BY match_id ORDER BY ts DESC, event_id DESC) AS n FROM x WHERE event_type = 'view') WHERE n = 1),
+c AS (SELECT match_id, count(*) AS n_events FROM x GROUP BY match_id)
+SELECT c.match_id AS match_id, g.k AS gold, h.k AS hp, c.n_events AS n_events FROM c LEFT JOIN g ON c.match_id = g.match_id LEFT JOIN h ON c.match_id = h.match_id
+""",
 }
