@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 
-BINS, GROUP_ROWS, MAX_ROUNDS = 1000, 200_000, 40
+BINS, GROUP_ROWS, MAX_GROUPS, MAX_ROUNDS = 1000, 200_000, 256, 40
 
 
 def names_a_state(state: Column) -> Column:
@@ -157,9 +157,9 @@ def assign_splits(samples: DataFrame, shares: DataFrame, bins: int = BINS) -> Da
     """A split for each match, whole components together: match_id, component, split.
 
     ``shares`` (split, share) is a table of settings. Components are dealt by hash to groups of
-    at most some hundred thousand; each group balances its own into ``bins`` bins by largest
-    differencing, the groups' bins are differenced once more (groups x bins numbers reach the
-    driver, whatever the rows), and whole bins go to the splits by target. A component larger
+    some hundred thousand (at most 256 groups); each group balances its own into ``bins`` bins by largest
+    differencing, the groups' bins are differenced once more (at most 256 x bins numbers reach
+    the driver, whatever the rows), and whole bins go to the splits by target. A component larger
     than a bin makes its bin heavy and is placed first. Shares are met to about 1/bins of all
     rows where the components allow it. Null matches are one match. Rows with ids that name no
     state are linked by their match only. An empty table gives no rows.
@@ -171,7 +171,7 @@ def assign_splits(samples: DataFrame, shares: DataFrame, bins: int = BINS) -> Da
     sizes = samples.groupBy("match_id").agg(F.count(F.lit(1)).alias("w"))
     members = cut_lineage(members.join(sizes, members["match_id"].eqNullSafe(sizes["match_id"])).select(members["match_id"], "component", "w"))
     weights = members.groupBy("component").agg(F.sum("w").alias("w"))
-    groups = 1 + weights.count() // GROUP_ROWS
+    groups = min(MAX_GROUPS, 1 + weights.count() // GROUP_ROWS)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [df for df in batches if len(df)]
