@@ -52,19 +52,14 @@ def flatten_boards(states: DataFrame) -> NestedTables:
     """
     opponent_type = states.schema["observed_opponents"].dataType.elementType
     own = _other_fields(opponent_type, {"board"})
-    hashed = states.select(
-        "state_id",
-        _hashed_units(F.col("board")).alias("board"),
-        F.transform("observed_opponents", lambda o: F.when(o.isNotNull(), F.struct(*[o[c].alias(c) for c in own], _hashed_units(o["board"]).alias("board")))).alias("opponents"),
-    ).withColumn(
-        "opponents",
-        F.transform("opponents", lambda o: F.when(o.isNotNull(), F.struct(
-            _digest(*[o[c].alias(c) for c in own], F.transform(o["board"], lambda u: F.hex(u["unit_key"])).alias("board")).alias("opponent_key"), o.alias("opponent")))),
-    )
-    at_opponents = hashed.select("state_id", F.posexplode("opponents").alias("opponent_pos", "o")).where("o is not null")
-    at_opponents = at_opponents.select("state_id", F.col("opponent_pos").cast("bigint").alias("opponent_pos"), "o.opponent_key", "o.opponent")
-    placed = lambda df, key, array: df.select(key, F.posexplode(array).alias("unit_pos", "u")).where("u is not null").select(key, F.col("unit_pos").cast("bigint").alias("unit_pos"), "u.unit_key", "u.unit")
-    state_units, opponent_units = placed(hashed, "state_id", "board"), placed(at_opponents, "opponent_key", "opponent.board")
+    placed = lambda df, key, array: df.select(key, F.posexplode(array).alias("unit_pos", "u")).where("u is not null").select(key, F.col("unit_pos").cast("bigint").alias("unit_pos"), "u")
+    # Units are hashed once they are rows, in generated code; only an opponent needs its units' hashes together, for its own.
+    state_units = placed(states, "state_id", "board").select("state_id", "unit_pos", _digest(F.col("u").alias("unit")).alias("unit_key"), F.col("u").alias("unit"))
+    seen_opponents = states.select("state_id", F.posexplode("observed_opponents").alias("opponent_pos", "o")).where("o is not null")
+    hashed = seen_opponents.select("state_id", F.col("opponent_pos").cast("bigint").alias("opponent_pos"), "o", _hashed_units(F.col("o.board")).alias("board"))
+    opponent_key = _digest(*[F.col(f"o.{c}").alias(c) for c in own], F.transform("board", lambda u: F.hex(u["unit_key"])).alias("board"))
+    at_opponents = hashed.select("state_id", "opponent_pos", opponent_key.alias("opponent_key"), "o", "board")
+    opponent_units = placed(at_opponents, "opponent_key", "board").select("opponent_key", "unit_pos", "u.unit_key", "u.unit")
     # A key stands for its contents, so nodes are made single by plain distinct rows, which hash without sorting and combine before the shuffle.
     seen = state_units.select("unit_key", "unit").unionByName(opponent_units.select("unit_key", "unit"))
     items = seen.select("unit_key", F.posexplode("unit.items").alias("item_pos", "item_id")).where("item_id is not null")
@@ -73,7 +68,7 @@ def flatten_boards(states: DataFrame) -> NestedTables:
         state_units=state_units.select("state_id", "unit_pos", "unit_key").distinct(),
         opponent_units=opponent_units.select("opponent_key", "unit_pos", "unit_key").distinct(),
         unit_items=items.select("unit_key", F.col("item_pos").cast("bigint").alias("item_pos"), "item_id").distinct(),
-        opponents=at_opponents.select("opponent_key", *[F.col(f"opponent.{c}").alias(c) for c in own]).distinct(),
+        opponents=at_opponents.select("opponent_key", *[F.col(f"o.{c}").alias(c) for c in own]).distinct(),
         units=seen.select("unit_key", *[F.col(f"unit.{c}").alias(c) for c in _unit_fields(states)]).distinct(),
     )
 
