@@ -1,8 +1,13 @@
 """Stuffed pages: the automaton against brute force, kinds of pages, awkward inputs."""
 
 import random
+from collections import defaultdict
 
-from matchweft.llm.stuffing import SuffixAutomaton, is_stuffed, spam_share, stuffed_pages, words_of
+import numpy as np
+
+from matchweft.llm import stuffing
+from matchweft.llm.automaton import Order, ending_order, repeated_states
+from matchweft.llm.stuffing import is_stuffed, page_scores, stuffed_pages
 
 SPAM = [
     "rank guide Tarthal codes Tarthal delivery guide Tarthal codes guide rank codes Bruthal rank rank Bruthal guide delivery Bruthal rank",
@@ -28,38 +33,53 @@ FINE = [
 
 def test_kinds_of_pages():
     for text in SPAM:
-        assert is_stuffed(text), (spam_share(text), text)
+        assert is_stuffed(text), (page_scores([text or '']), text)
     for text in FINE:
-        assert not is_stuffed(text), (spam_share(text), text)
+        assert not is_stuffed(text), (page_scores([text or '']), text)
 
 
 def test_most_of_the_text_decides():
     assert is_stuffed(SPAM[0] + "\nNobody contested the bench.") and not is_stuffed(SPAM[1] + "\n" + "\n".join(FINE[2:3] * 3))
 
 
-def test_automaton_equals_brute_force():
+def _classes(text: str) -> dict[tuple[int, ...], int]:
+    """Length of the longest substring of each class that ends at the same places."""
+    ends = defaultdict(list)
+    for i in range(len(text)):
+        for j in range(i + 1, len(text) + 1):
+            ends[text[i:j]].append(j - 1)
+    out: dict = {}
+    for part, at in ends.items():
+        out[tuple(at)] = max(out.get(tuple(at), 0), len(part))
+    return out
+
+
+def test_states_equal_brute_force():
     rng = random.Random(8)
-    for _ in range(80):
-        seq = [rng.randrange(3) for _ in range(rng.randrange(1, 25))]
-        a = SuffixAutomaton(seq)
-        for i in range(len(seq)):
-            for j in range(i + 1, len(seq) + 1):
-                part, state = seq[i:j], 0
-                for x in part:
-                    state = a.moves[state][x]
-                ends = [k + len(part) - 1 for k in range(len(seq)) if seq[k : k + len(part)] == part]
-                assert (a.count[state], a.first[state], a.last[state]) == (len(ends), ends[0], ends[-1])
-        near = [False] * len(seq)
-        for i in range(len(seq)):
-            for j in range(i + 2, len(seq) + 1):
-                ends = [k for k in range(len(seq)) if seq[k : k + j - i] == seq[i:j]]
-                if len(ends) >= 3 and ends[-1] - ends[0] <= 4 * (len(ends) - 1):
-                    near[i:j] = [True] * (j - i)
-        assert a.dense_cover([True] * len(seq), 3, 4)[0] == near
-
-
-def test_look_alikes():
-    assert words_of("M3ldr@ fr33, O$tdra") == ["meldra", "free", "ostdra"]
+    for turn in range(150):
+        texts = ["".join(rng.choice("ab" if turn % 2 else "abc") for _ in range(rng.randrange(26))) for _ in range(rng.randrange(4))]
+        least, times = rng.randrange(1, 4), rng.randrange(2, 6)
+        starts = np.cumsum([0, *map(len, texts)])[:-1].astype(int)
+        order = ending_order(np.array([ord(c) for t in texts for c in t], np.int64), starts)
+        got = repeated_states(order, least, times)
+        found = sorted(zip(got.length.tolist(), got.count.tolist(), got.first.tolist(), got.last.tolist()))
+        wanted = sorted((n, len(at), at[0] + s, at[-1] + s) for t, s in zip(texts, starts) for at, n in _classes(t).items() if n >= least and len(at) >= times)
+        assert found == wanted
+        for n, count, low, high in zip(got.length, got.count, got.low, got.high):
+            assert high - low == count and (order.shared[low + 1 : high] >= n).all()
+
+
+def test_without_the_automaton_nothing_is_found(monkeypatch):
+    flat = lambda codes, starts: Order(np.arange(len(codes)), np.zeros(len(codes), np.int64))
+    monkeypatch.setattr(stuffing, "ending_order", flat)
+    assert not any(map(is_stuffed, SPAM))
+
+
+def test_batches_do_not_mix():
+    texts = [t or "" for t in SPAM + FINE]
+    together = page_scores(texts)
+    for i, t in enumerate(texts):
+        assert np.allclose(together[i], page_scores([t])[0])
 
 
 def test_table_with_awkward_rows(spark):
