@@ -1,9 +1,10 @@
 """Implausible readings: Hampel filter, stuck values and physical bounds, by source.
 
 The readings of one source (a match and a field) are put in time order from all tables
-that carry them. A reading's distance from the rolling median is compared with the moves
-the source makes otherwise (their median, with the median absolute deviation where it is
-wide), so a rich match and a poor one each have a measure of their own.
+that carry them. The filter works on the moves between readings, since the levels drift: a
+reading's distance from the rolling median is held against the rolling median absolute
+deviation of the source's own moves, so a rich match and a poor one each have a measure
+of their own.
 """
 
 from __future__ import annotations
@@ -17,18 +18,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.jsonvalue import json_fields
 
 SEGMENT_S, HALO_S = 14_400, 1_800
-#: A field that moves up less often than this share of its moves has no usual gain.
-RARE_GAIN = 0.2
-GAIN_FACTOR, LOSS_FACTOR, WIDEST = 2.4, 1.5, 3
+#: The segment of readings without a usable time.
+UNTIMED = -(2**62)
+#: Hampel filter: deviations a reading may be off, moves on either side that the deviation is taken over, widest excursion, least deviation.
+DEVIATIONS, AROUND, WIDEST, LEAST_SCALE = 1.5, 50, 3, 1.0
+#: Moves that a source must have made before it can be said how it moves.
+LEAST_MOVES = 3
 STUCK_ROUNDS, STUCK_READINGS = 3, 4
 _OUT = "record_type string, record_id string, field string, reason string"
 
 
+def _segment(t: Column) -> Column:
+    return F.when(t.between(-1e15, 1e15), F.floor(t / SEGMENT_S)).otherwise(F.lit(UNTIMED)).cast("bigint")
+
+
 def _segments(t: Column) -> Column:
     """The time segments that need a reading: its own and, near a border, the neighbour's."""
-    at = lambda x: F.greatest(F.floor(x / SEGMENT_S), F.lit(0)).cast("bigint")
-    finite = t.between(-1e15, 1e15)
-    return F.when(finite, F.array_distinct(F.array(at(t - HALO_S), at(t), at(t + HALO_S)))).otherwise(F.array(F.lit(-1).cast("bigint")))
+    return F.when(t.between(-1e15, 1e15), F.array_distinct(F.array(_segment(t - HALO_S), _segment(t), _segment(t + HALO_S)))).otherwise(F.array(_segment(t)))
 
 
 def readings(observations: DataFrame, states: DataFrame, fields: tuple[str, ...] = ("gold", "hp")) -> DataFrame:
@@ -55,46 +61,51 @@ def readings(observations: DataFrame, states: DataFrame, fields: tuple[str, ...]
     return from_o.unionByName(from_s)
 
 
-def _threshold(moves: np.ndarray) -> float:
-    """What a move of this source must exceed to be none of its usual moves."""
-    up, down = moves[moves > 0], -moves[moves < 0]
-    if len(up) >= 3 and len(up) >= RARE_GAIN * (len(up) + len(down)):
-        middle = np.median(up)
-        return max(GAIN_FACTOR * middle, middle + 3 * 1.4826 * np.median(np.abs(up - middle)), 2.0)
-    return max(LOSS_FACTOR * np.median(down), 2.0) if len(down) >= 3 else np.inf
+def rolling_scale(v: np.ndarray) -> np.ndarray:
+    """For each reading the scaled median absolute deviation (about none) of the source's AROUND moves before it and AROUND after it; infinite where a source has hardly moved. Repeated readings are no moves."""
+    moves = np.diff(v)
+    at = np.flatnonzero(moves)
+    sizes = np.abs(moves[at])
+    if len(sizes) < LEAST_MOVES:
+        return np.full(len(v), np.inf)
+    width = 2 * AROUND
+    if len(sizes) <= width:
+        rolled = np.array([np.median(sizes)])
+    else:
+        rolled = np.median(np.lib.stride_tricks.sliding_window_view(sizes, width), axis=1)
+    # At the ends of a source the window is the first or the last one that is whole.
+    window = np.clip(np.searchsorted(at, np.arange(len(v))) - AROUND, 0, len(rolled) - 1)
+    return np.maximum(1.4826 * rolled[window], LEAST_SCALE)
 
 
 def _excursions(v: np.ndarray) -> np.ndarray:
-    """Indices of readings that leave the course for up to WIDEST readings and come back, beyond the source's usual moves.
+    """Indices of readings that leave the course for up to WIDEST readings and come back, by more than the source's own moves allow.
 
-    The rolling median of three clamps a reading between its neighbours; its distance from
-    that median is how far it left and came back. Largest first, so that a neighbour of a
-    spike is judged once the spike is out.
+    The median of a block and its two neighbours clamps the block between them; its distance from
+    that median is how far it left and came back. In each pass all blocks that are the farthest
+    among those they overlap are taken out together, until none is left, so that a neighbour
+    of a spike is judged once the spike is out.
     """
+    limits = DEVIATIONS * rolling_scale(v)
     idx = np.arange(len(v))
-    limit = _threshold(np.diff(v)) if len(v) > 3 else np.inf
-    if not np.isfinite(limit):
-        return idx[:0]
     for width in range(1, WIDEST + 1):
-        for _ in range(64):
-            w = v[idx]
+        while len(idx) > width + 1:
+            w, limit = v[idx], limits[idx][1:-1]
             n = len(w) - width - 1
-            if n < 1:
-                break
             block = np.lib.stride_tricks.sliding_window_view(w[1:-1], width)
             top, low = block.max(1), block.min(1)
+            limit = np.lib.stride_tricks.sliding_window_view(limit, width).max(1)
             a, b = w[:n], w[width + 1 :]
             dip = np.where(b - a <= limit, np.minimum(a, b) - top, 0)  # a field that starts anew does not come back, it goes higher
             e = np.maximum(np.maximum(low - np.maximum(a, b), dip), 0)
-            if not (e > limit).any():
+            far = np.where(e > limit, e, 0)
+            if not far.any():
                 break
-            if width == 1:
-                hit = (e > limit) & (e >= np.r_[0, e[:-1]]) & (e >= np.r_[e[1:], 0])
-                out = np.flatnonzero(hit) + 1
-            else:
-                i = int(e.argmax())
-                out = np.arange(i + 1, i + 1 + width)
-            idx = np.delete(idx, out)
+            reach = max(width - 1, 1)
+            side = np.lib.stride_tricks.sliding_window_view(np.r_[np.zeros(reach), far, np.zeros(reach)], reach)
+            before, after = side[:n].max(1), side[reach + 1 :].max(1)
+            hit = (far > 0) & (far >= after) & ((far > before) if width > 1 else (far >= before))
+            idx = np.delete(idx, np.unique(np.flatnonzero(hit)[:, None] + 1 + np.arange(width)))
     return np.setdiff1d(np.arange(len(v)), idx, assume_unique=True)
 
 
@@ -160,7 +171,7 @@ def _judge_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rn = df["round_no"].values.astype(float)
         code = np.zeros(len(df), np.int8)
         for a, b in zip(starts, np.r_[starts[1:], len(df)]):
-            if seg[a] >= 0:
+            if seg[a] != UNTIMED:
                 code[a:b] = _judge(field[a], t[a:b].astype(float), v[a:b], src[a:b], rn[a:b])
         code[bad.astype(bool)] = 3
         hit = (code > 0) & df["own"].values
@@ -186,18 +197,17 @@ def implausible_readings(observations: DataFrame, states: DataFrame) -> DataFram
     """Readings of gold and hp that are wrong: record_type, record_id, field, reason (bounds, spike, stuck).
 
     bounds: the field cannot hold the value. spike: the reading leaves its source's course
-    for at most three readings and comes back by a move the source does not otherwise make;
-    changes that last are none. stuck (gold): at least four equal readings of one reader
+    for at most three readings and comes back, by more than 1.5 deviations of the moves the
+    source makes around it; changes that last are none. stuck (gold): at least four equal readings of one reader
     over which at least three rounds pass, all but the first. A re-sent record gives one
     row. A reading without a usable time is only held against the bounds; a null match is a
-    source of its own. A source with fewer than four readings has no usual behaviour and no
-    spikes. Empty tables give no rows.
+    source of its own. A source that has moved less than three times has no usual behaviour and
+    no spikes. Empty tables give no rows.
 
     A source is judged in segments of four hours, each with half an hour more on either
     side, so a recorder that never stops is spread over many tasks.
     """
     rows = readings(observations, states)
-    own = F.when(F.col("t").between(-1e15, 1e15), F.greatest(F.floor(F.col("t") / SEGMENT_S), F.lit(0))).otherwise(F.lit(-1))
-    spread = rows.select("*", F.explode(_segments(F.col("t"))).alias("segment")).withColumn("own", F.col("segment") == own)
+    spread = rows.select("*", F.explode(_segments(F.col("t"))).alias("segment")).withColumn("own", F.col("segment") == _segment(F.col("t")))
     placed = spread.repartition("match_id", "field", "segment").sortWithinPartitions("match_id", "field", "segment", "t", "src", "id")
     return placed.select("match_id", "field", "segment", "t", "src", "id", "v", "bad", F.col("round_no").cast("double").alias("round_no"), "own").mapInPandas(_judge_partition, _OUT)
