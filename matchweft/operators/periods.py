@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNK_MS = 3_600_000
-#: Beyond this a bound would leave the range of Spark's timestamps.
-MAX_MS = 9_000_000_000_000_000 // 1000
+#: Bounds beyond this cannot be counted in whole half milliseconds by Spark's timestamps (60 million years).
+MAX_MS = 1_900_000_000_000_000_000
+HOUR_US = 3_600_000_000
 
 
 def _session(start: Column, end: Column) -> Column:
-    """A session of one interval: half a millisecond longer than it, so that bounds are included but 1 ms apart is apart."""
-    seconds = ((end - start) / F.lit(1000).cast("decimal(20,0)")).cast("decimal(18,6)")
-    return F.session_window(F.timestamp_millis(start), F.make_interval(secs=(seconds + F.lit("0.0005").cast("decimal(18,6)")).cast("decimal(18,6)")))
+    """A session of one interval, half a millisecond longer than it, so that bounds are included but 1 ms apart is apart. Half a millisecond is a microsecond of the session's own clock, which so reaches farther than the calendar."""
+    length = 2 * (end - start) + 1
+    hours = F.floor(length / F.lit(HOUR_US).cast("decimal(20,0)")).cast("int")
+    seconds = ((length - hours.cast("bigint") * HOUR_US) / F.lit(1_000_000).cast("decimal(20,0)")).cast("decimal(18,6)")
+    return F.session_window(F.timestamp_micros(2 * start), F.make_interval(hours=hours, secs=seconds))
 
 
 def continuous_periods(intervals: DataFrame, key: str, start_s: str, end_s: str) -> DataFrame:
@@ -20,7 +23,7 @@ def continuous_periods(intervals: DataFrame, key: str, start_s: str, end_s: str)
 
     Bounds are seconds and count to the millisecond; they are included, so intervals that
     touch join and intervals 1 ms apart do not. An instant can be a period. Rows whose key
-    is null, whose bounds are null, not finite or outside Spark's timestamps, or that end
+    is null, whose bounds are null, not finite or more than 1.9e18 ms away, or that end
     before they start take no part. Repeated rows change nothing.
 
     Spark's session_window with a duration of its own for each row merges what overlaps.
