@@ -8,6 +8,7 @@ they say under which name each field of a file belongs in the one table of its r
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import zlib
@@ -22,7 +23,9 @@ from ..contracts import contracts
 
 BUCKETS = 256
 SAME_VALUES, SAME_NAME, LIKE_NAME = 0.5, 0.99, 0.5
-_PROFILE = "stream_id string, record_type string, file_no bigint, path string, kind string, n bigint, n_frac bigint, low double, high double, total double, bucket int, n_bucket bigint"
+FILES_AT_ONCE = 256
+_PROFILE = "stream_id string, record_type string, file_no bigint, profile string"
+_PRINT = "stream_id string, record_type string, file_no bigint, fingerprint string, fields string"
 _DIGITS, _WORD = re.compile(r"\d+"), re.compile(r"[A-Z]?[a-z]+")
 #: Fields of the record contracts; a chain that passes through one of these names ends there.
 CONTRACT_FIELDS = {
@@ -40,9 +43,9 @@ def _kind(value: object) -> str:
 
 
 def _buckets(text: str) -> list[int]:
-    """Buckets of a text's shapes: digits as one; then, for its beginning, words as one too, where that leaves more than words."""
+    """Buckets of a text's shapes: digits as one; then words as one too and each sign only where it first comes, where that leaves more than words."""
     fine = _DIGITS.sub("9", text)
-    coarse = _WORD.sub("w", fine[:60])[:12]
+    coarse = "".join(dict.fromkeys(_WORD.sub("w", fine)))
     out = [zlib.crc32(fine.encode()) % BUCKETS]
     return [*out, BUCKETS + zlib.crc32(coarse.encode()) % BUCKETS] if re.search(r"[A-Z9]", coarse) else out
 
@@ -82,21 +85,59 @@ def _observe(value: object, path: str, seen: dict) -> None:
                 _observe(x, f"{path}.{name}" if path else name, seen)
 
 
+def _entry() -> dict:
+    return {"n": 0, "n_frac": 0, "low": np.inf, "high": -np.inf, "total": 0.0, "hist": defaultdict(int)}
+
+
+def _profile_rows(files: dict) -> pd.DataFrame:
+    rows = [(*file, json.dumps([[path, kind, e["n"], e["n_frac"], e["low"], e["high"], e["total"], e["hist"]] for (path, kind), e in seen.items()])) for file, seen in files.items() if seen]
+    return pd.DataFrame(rows, columns=["stream_id", "record_type", "file_no", "profile"]).astype({"file_no": "Int64"})
+
+
 def _profile_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row for each file that has lines in the partition; where lines lie in the order of their files, each file is held only while it lasts."""
+    files: dict = {}
     for df in batches:
-        rows = []
         for (stream, record_type, file_no), group in df.groupby(["stream_id", "record_type", "file_no"], dropna=False, sort=False):
-            seen: dict = defaultdict(lambda: {"n": 0, "n_frac": 0, "low": np.inf, "high": -np.inf, "total": 0.0, "hist": defaultdict(int)})
+            file = (stream, None if pd.isna(record_type) else record_type, file_no)
+            if file not in files:
+                if len(files) >= FILES_AT_ONCE:
+                    yield _profile_rows(files)
+                    files = {}
+                files[file] = defaultdict(_entry)
             for payload in group["payload"]:
                 record = parse_object(payload)
                 if record is not None:
-                    _observe(record, "", seen)
-            for (path, kind), e in seen.items():
-                numbers = (e["low"], e["high"], e["total"]) if kind == "number" else (None, None, None)
-                rows.append((stream, record_type, file_no, path, kind, e["n"], e["n_frac"], *numbers, -1, e["n"]))
-                rows.extend((stream, record_type, file_no, path, kind, 0, 0, None, None, None, b, c) for b, c in e["hist"].items())
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in _PROFILE.split(", ")])
-        yield out.astype({"file_no": "Int64"})
+                    _observe(record, "", files[file])
+    yield _profile_rows(files)
+
+
+def _merge_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Add up the profiles of each file; rows come in the order of their files."""
+    now, total = None, {}
+
+    def done() -> tuple:
+        fields = [{"path": p, "kind": k, "n": e["n"], "n_frac": e["n_frac"], "low": e["low"], "high": e["high"], "total": e["total"], "shapes": e["hist"]} for (p, k), e in sorted(total.items())]
+        text = json.dumps(sorted(total))
+        return (*now, hashlib.sha256(text.encode()).hexdigest(), json.dumps(fields))
+
+    for df in batches:
+        rows = []
+        for stream, record_type, file_no, profile in df.itertuples(index=False):
+            file = (stream, record_type, file_no)
+            if file != now:
+                if now is not None:
+                    rows.append(done())
+                now, total = file, {}
+            for path, kind, n, n_frac, low, high, amount, hist in json.loads(profile):
+                e = total.setdefault((path, kind), _entry())
+                e["n"], e["n_frac"], e["total"] = e["n"] + n, e["n_frac"] + n_frac, e["total"] + amount
+                e["low"], e["high"] = min(e["low"], low), max(e["high"], high)
+                for bucket, c in hist.items():
+                    e["hist"][int(bucket)] += c
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in _PRINT.split(", ")]).astype({"file_no": "Int64"})
+    if now is not None:
+        yield pd.DataFrame([done()], columns=[x.split()[0] for x in _PRINT.split(", ")]).astype({"file_no": "Int64"})
 
 
 def schema_fingerprints(raw: DataFrame) -> DataFrame:
@@ -105,19 +146,12 @@ def schema_fingerprints(raw: DataFrame) -> DataFrame:
     ``fields`` has, for each path and JSON type, the number of filled values, the number of
     fractions, range and sum of numbers, and a histogram of value shapes in 2 x 256
     buckets (digits count as one, in the second half words too), so its size depends on the schema and not on the rows. Lines that
-    are no JSON object are passed over; a file of such lines only has no row. Counts are
-    added up within each batch before the shuffle.
+    are no JSON object are passed over; a file of such lines only has no row. Each partition
+    sends one row for each of its files, so a file of any length is a few rows when it is shuffled.
     """
     rows = raw.select("stream_id", "record_type", F.col("file_no").cast("bigint").alias("file_no"), "payload").where("stream_id is not null and file_no is not null")
-    parts = rows.mapInPandas(_profile_partition, _PROFILE)
-    at = ["stream_id", "record_type", "file_no", "path", "kind"]
-    summed = parts.groupBy(*at, "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "n_frac", "total", "n_bucket")], F.min("low").alias("low"), F.max("high").alias("high"))
-    shapes = F.array_sort(F.collect_list(F.when(F.col("bucket") >= 0, F.struct("bucket", "n_bucket"))))
-    paths = summed.groupBy(*at).agg(*[F.sum(c).alias(c) for c in ("n", "n_frac", "total")], F.min("low").alias("low"), F.max("high").alias("high"), shapes.alias("shapes"))
-    field = F.struct("path", "kind", "n", "n_frac", "low", "high", "total", "shapes")
-    files = paths.groupBy("stream_id", "record_type", "file_no").agg(F.array_sort(F.collect_list(field)).alias("fields"))
-    fingerprint = F.sha2(F.to_json(F.transform("fields", lambda x: F.struct(x["path"].alias("p"), x["kind"].alias("k")))), 256)
-    return files.select("stream_id", "record_type", "file_no", fingerprint.alias("fingerprint"), F.to_json("fields").alias("fields"))
+    file = ["stream_id", "record_type", "file_no"]
+    return rows.mapInPandas(_profile_partition, _PROFILE).repartition(*file).sortWithinPartitions(*file).mapInPandas(_merge_partition, _PRINT)
 
 
 class _Node:
@@ -134,7 +168,7 @@ def _tree(fields: str) -> dict[str, _Node]:
     for f in json.loads(fields):
         if not f["path"]:
             continue
-        f["shapes"] = {x["bucket"]: x["n_bucket"] for x in f.get("shapes", [])}
+        f["shapes"] = {int(k): v for k, v in f["shapes"].items()}
         node = root
         for step in re.split(r"\.", f["path"]):
             name = step.replace("[]", "")
