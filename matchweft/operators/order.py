@@ -46,7 +46,8 @@ def scan(df: DataFrame, keys: list[str], time: str, id_: str, running: dict[str,
     null or not finite are an hour of their own, in front.
     """
     t = F.col(time)
-    chunk = F.when(t.between(-1e15, 1e15), F.floor(t / chunk_s)).cast("bigint")
+    finite = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
+    chunk = F.when(finite, F.floor(F.least(F.greatest(t / chunk_s, F.lit(-1e15)), F.lit(1e15)))).cast("bigint")  # whatever lies farther shares the last chunk
     rows = df.select("*", chunk.alias("__c"), *[x.alias(f"__x_{n}") for n, (_, x) in running.items()])
     ways = [F.desc_nulls_last(c) for c in (time, id_)] if backwards else [F.asc_nulls_first(c) for c in (time, id_)]
     w = Window.partitionBy(*keys, "__c").orderBy(*ways)

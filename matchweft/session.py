@@ -20,11 +20,18 @@ def build_session(master: str = "local[*]", app: str = "matchweft", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; set one only where none is set, as in tests."""
+    """Use the folder that the session names in spark.checkpoint.dir.
+
+    Where none is set, a session in local mode gets a folder of its own, since driver and
+    executors are one process there; on a cluster that is an error, as executors share no local folder.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="matchweft-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="matchweft-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

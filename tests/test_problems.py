@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,9 @@ def test_periods_equal_brute_force(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "match_id string, s double, e double, k int")
     got = {tuple(r) for r in periods.periods_and_gaps(df, "match_id", "s", "e").collect()}
     assert got == _brute_periods(rows)
+    far = spark.createDataFrame([("m", 0.0, 1e15), ("m", 5e14, 1e15 + 1), ("m", 1.2e15, 1.5e15), ("m", -1.8e15, -1.7e15)], "match_id string, s double, e double")
+    ends = [(r["start_ms"], r["end_ms"]) for r in periods.continuous_periods(far, "match_id", "s", "e").orderBy("start_ms").collect()]
+    assert [(a // 10**12, b // 10**12) for a, b in ends] == [(-1_800_000, -1_700_000), (0, 1_000_000), (1_200_000, 1_500_000)]
     assert periods.periods_and_gaps(spark.createDataFrame([(None, 1.0, 2.0)], "match_id string, s double, e double"), "match_id", "s", "e").count() == 0
 
 
@@ -156,6 +161,27 @@ def test_spikes_stuck_and_bounds(spark, states):
     assert got == want | {(k, "gold", "stuck") for k in frozen[1:]}
 
 
+def test_every_wide_spike_is_found(spark, states):
+    rng = random.Random(5)
+    level, rows, wrong = 500, [], set()
+    for i in range(1400):
+        level = max(50, level + rng.choice([-9, -6, -3, 4, 7, 9]))
+        off = i % 9 in (4, 5) and i < 1350
+        rows.append((f"g{i:04d}", "m", 5.0 * i, "gold", json.dumps({"gold": level + (3000 + i if off else 0)})))
+        wrong |= {f"g{i:04d}"} if off else set()
+    got = {r["record_id"] for r in outliers.implausible_readings(_readings(spark, rows), states.limit(0)).collect()}
+    assert len(wrong) == 300 and got == wrong
+
+
+def test_the_deviation_is_that_of_the_moves_around():
+    v = np.r_[np.tile([100.0, 104.0], 80), np.tile([100.0, 180.0], 80)]
+    scale = outliers.rolling_scale(v)
+    assert np.allclose(scale[:60], 4 * 1.4826) and np.allclose(scale[-60:], 80 * 1.4826)
+    spiked = v.copy()
+    spiked[[41, 281]] = 230.0  # off by some 130 twice: much among moves of 4, little among moves of 80
+    assert outliers._excursions(spiked).tolist() == [41]
+
+
 def test_lasting_changes_and_other_matches_are_no_spikes(spark, states):
     rows = _course("poor") + _course("rich", gain=40)
     rows += [(f"again-{i}", "poor", 30.0 * 60 + 400 + i * 10, "hp", '{"hp": 100}') for i in range(8)]  # a new game
