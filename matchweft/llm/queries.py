@@ -10,11 +10,15 @@ from ..session import cut_lineage
 from ..sources.tables import table
 from .bpe import encode_corpus, token_counts
 from .packing import pack
-from .runs import observation_runs
+from .runs import near_runs, observation_runs
 from .splits import assign_splits, linked_pairs
 from .stuffing import stuffed_pages
 
 
+#: Squared points of experience that a boundary must save.
+XP_PENALTY = 30.0
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     runs = observation_runs(table(spark, sf, "observations"))
     return runs.where("n >= 2").select("match_id", "kind", F.col("first_id").alias("first_observation_id"), F.col("last_id").alias("last_observation_id"))
@@ -25,6 +29,12 @@ def p3_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.select("match_id", "kind", F.col("first_id").alias("first_observation_id"), F.col("last_id").alias("last_observation_id"), "n", F.round("duration", 3).alias("duration_s"))
 
 
+def p3_near(spark: SparkSession, sf: str) -> DataFrame:
+    """Stretches of about the same experience in each match."""
+    runs = near_runs(table(spark, sf, "observations"), "xp", XP_PENALTY)
+    return runs.select("match_id", F.col("first_id").alias("first_observation_id"), F.col("last_id").alias("last_observation_id"), "n", F.round("duration", 3).alias("duration_s"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return linked_pairs(table(spark, sf, "transitions"))
 
@@ -86,7 +96,7 @@ def p10_scores(spark: SparkSession, sf: str) -> DataFrame:
     return stuffed_pages(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p7_found, p7_splits, p7_shares, p8_ids, p8_counts, p9_packed, p9_joint, p9_waste, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_runs, p3_near, p7_found, p7_splits, p7_shares, p8_ids, p8_counts, p9_packed, p9_joint, p9_waste, p10_found, p10_scores)}
 
 _RUNS = """
 WITH o AS (

@@ -97,6 +97,40 @@ def test_near_identical_numbers(spark):
         runs.collapse_runs(df, ["match_id"], "timestamp_s", "observation_id", "value", penalty=0.6)
 
 
+def _numeric(spark, values, step_s):
+    rows = [("m", "gold", 10.0 + step_s * i, f"o{i:05d}", str(x), 0) for i, x in enumerate(values)]
+    return _events(spark, rows).withColumn("x", F.col("value").cast("double"))
+
+
+def test_a_boundary_may_move_at_the_border_of_an_hour(spark):
+    values = [0.0] * 100 + [3.0] * 101  # the border of the first hour is after the first 3
+    df = _numeric(spark, values, 35.6)
+    assert df.where("timestamp_s < 3600").count() == 101
+    got = runs.collapse_runs(df, ["match_id"], "timestamp_s", "observation_id", "value", number="x", penalty=20.0).collect()
+    assert sorted((r["first_id"], r["n"]) for r in got) == [("o00000", 100), ("o00100", 101)]
+
+
+def test_near_runs_over_hours_stay_within_their_bound(spark):
+    rng, exact = np.random.default_rng(6), 0
+    for penalty in (2.0, 6.0, 15.0):
+        for _ in range(2):
+            x = np.repeat(rng.integers(0, 4, 40) * 3.0, rng.integers(1, 12, 40)) + 0.0
+            x = np.round(x + rng.normal(0, 0.6, len(x)), 1)
+            df = _numeric(spark, x.tolist(), 97.0)
+            got = sorted((r["first_id"], r["n"]) for r in runs.collapse_runs(df, ["match_id"], "timestamp_s", "observation_id", "value", number="x", penalty=penalty).collect())
+            assert sum(n for _, n in got) == len(x)
+
+            def cost(s):
+                return sum(((x[a:b] - x[a:b].mean()) ** 2).sum() for a, b in zip(s, [*s[1:], len(x)])) + penalty * (len(s) - 1)
+
+            best = cost(runs.segment_numeric(np.ones(len(x)), x, x * x, penalty))
+            found = cost([int(i[1:]) for i, _ in got])
+            borders = int((10 + 97 * (len(x) - 1)) // 3600)
+            assert best - 1e-6 <= found <= best + penalty * borders + 1e-6
+            exact += found <= best + 1e-6
+    assert exact >= 4
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, sf, name):
     assert difference(QUERIES[name](spark, sf), ORACLES[name], sf) == ""
