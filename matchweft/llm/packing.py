@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left, insort
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-RANK_BUCKETS, EMPTY_PER_BIN = 64, 100_000
+#: Items that one task ranks at a time, and empty items for each bin where there are no others.
+RANKED_AT_ONCE, EMPTY_PER_BIN = 100_000, 100_000
 MAX_CAPACITY = 1_000_000
 
 
@@ -24,6 +26,8 @@ class Plan:
 
     segments: list[tuple[int, int, int, int, int]] = field(default_factory=list)
     n_bins: int = 0
+    #: Capacity of all bins together once each is as small as its contents allow.
+    room: int = 0
 
 
 def _cheapest(size: int, capacities: list[int]) -> int:
@@ -32,8 +36,20 @@ def _cheapest(size: int, capacities: list[int]) -> int:
 
 
 def plan_bins(histogram: dict[int, int], capacities: list[int]) -> Plan:
-    """Best fit over a histogram of sizes from 1 to the largest capacity."""
+    """Best fit over a histogram of sizes from 1 to the largest capacity.
+
+    The permitted capacities are tried jointly (each bin opened at what costs least for its first
+    item) and one by one (each bin opened at this one, or at the next that holds the item); all bins are
+    then downsized to their contents, and the plan that takes the least room is kept.
+    """
     capacities = sorted(set(capacities))
+    tried = [_best_fit(histogram, capacities, lambda size: _cheapest(size, capacities))]
+    if len(capacities) > 1:
+        tried += [_best_fit(histogram, capacities, lambda size, c=c: next(x for x in capacities if x >= max(size, c))) for c in capacities]
+    return min(tried, key=lambda p: (p.room, p.n_bins))
+
+
+def _best_fit(histogram: dict[int, int], capacities: list[int], opening: Callable[[int], int]) -> Plan:
     plan, n_bins = Plan(), 0
     room: list[int] = []
     open_: dict[int, list[tuple[int, int, int]]] = {}
@@ -55,7 +71,7 @@ def plan_bins(histogram: dict[int, int], capacities: list[int]) -> Plan:
                 if not open_[left]:
                     del open_[left], room[at]
             else:
-                left = capacity = _cheapest(size, capacities)
+                left = capacity = opening(size)
                 first = n_bins
                 end = n_bins = first + -(-(n - rank) // (capacity // size))
             per = left // size
@@ -72,6 +88,9 @@ def plan_bins(histogram: dict[int, int], capacities: list[int]) -> Plan:
                     rank += rest
                 put(left, first + whole + bool(rest), end, capacity)
     plan.n_bins = n_bins
+    for left, bins in open_.items():
+        for first, end, capacity in bins:
+            plan.room += (end - first) * capacities[bisect_left(capacities, capacity - left)]
     return plan
 
 
@@ -79,15 +98,15 @@ def pack(items: DataFrame, id_: str, size: str, capacities: list[int]) -> DataFr
     """Pack items into bins of the permitted capacities: id, piece, n_pieces, size, bin_id, capacity.
 
     An item larger than the largest capacity is split into pieces of that capacity and a
-    rest; no other item is split. Bins are opened at the capacity that costs least for the item
-    and end as the smallest permitted one that holds their contents. Items of size 0 (null
+    rest; no other item is split. The permitted capacities are optimised jointly (``plan_bins``),
+    and bins end as the smallest permitted one that holds their contents. Items of size 0 (null
     or empty) take no room and are dealt to the bins by hash, to bins of their own only where
     there is no other item. A null size counts as 0. Null and repeated ids are items like others. An
     empty table gives no rows.
 
     The sizes' histogram and the plan (bounded by the capacity, at most a million) are all that
-    the driver sees. Ranks are counted within (size, bucket) and shifted by the counts of the
-    buckets before, so no size is collected into one task.
+    the driver sees. Ranks are counted within (size, bucket), with as many buckets as the items
+    need, and shifted by the counts of the buckets before, so no size is collected into one task.
     """
     limits = sorted({int(c) for c in capacities})
     if not limits or limits[0] < 1 or limits[-1] > MAX_CAPACITY:
@@ -95,8 +114,10 @@ def pack(items: DataFrame, id_: str, size: str, capacities: list[int]) -> DataFr
     top = limits[-1]
     sized = items.select(F.col(id_).alias("id"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(0)).cast("bigint").alias("whole"))
     n_pieces = F.greatest(F.ceil(F.col("whole") / top), F.lit(1)).cast("bigint")
+    n_all = sized.agg(F.sum(n_pieces)).first()[0] or 0
+    buckets = max(64, n_all // RANKED_AT_ONCE)
     pieces = sized.withColumn("n_pieces", n_pieces).select("id", "n_pieces", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_pieces") - 1)).alias("piece"))
-    pieces = pieces.select("id", "piece", "n_pieces", F.least(F.col("whole") - F.col("piece") * top, F.lit(top)).alias("size"), F.pmod(F.xxhash64("id", "piece"), F.lit(RANK_BUCKETS)).cast("int").alias("bucket"))
+    pieces = pieces.select("id", "piece", "n_pieces", F.least(F.col("whole") - F.col("piece") * top, F.lit(top)).alias("size"), F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).alias("bucket"))
     counts = pieces.groupBy("size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     n_empty = histogram.pop(0, 0)
@@ -109,8 +130,8 @@ def pack(items: DataFrame, id_: str, size: str, capacities: list[int]) -> DataFr
     before = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("size", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     ranked = pieces.withColumn("rank", F.row_number().over(Window.partitionBy("size", "bucket").orderBy("id", "piece")))
-    # At most one row for each size up to the capacity.
-    placed = ranked.join(offsets, ["size", "bucket"]).join(F.broadcast(segments), "size").withColumn("rank", F.col("rank") + F.col("offset") - 1)
+    # Segments have a row for each size up to the capacity; whether they are broadcast is decided by their size.
+    placed = ranked.join(offsets, ["size", "bucket"]).join(segments, "size").withColumn("rank", F.col("rank") + F.col("offset") - 1)
     placed = placed.withColumn("s", F.get(F.filter("segments", lambda s: (F.col("rank") >= s["a"]) & (F.col("rank") < s["b"])), F.lit(0)))
     empty_at = F.pmod(F.xxhash64("id"), F.lit(plan.n_bins or 1 + n_empty // EMPTY_PER_BIN))
     bin_id = F.when(F.col("size") == 0, empty_at).otherwise(F.col("s.first") + F.floor((F.col("rank") - F.col("s.a")) / F.col("s.per")))

@@ -65,6 +65,29 @@ def test_little_room_is_left(spark):
     assert sum(n for _, n in items) / bins > 0.99
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_joint_plan_takes_no_more_room_than_any_single_capacity(seed):
+    rng = random.Random(seed)
+    sizes = [min(100, int(rng.expovariate(1 / 30)) + 1) for _ in range(rng.randrange(1, 900))]
+    histogram = {s: sizes.count(s) for s in set(sizes)}
+    joint = plan_bins(histogram, [25, 60, 100])
+    assert sum(sizes) <= joint.room <= plan_bins(histogram, [100]).room
+    assert plan_bins(histogram, [100]).room == 100 * plan_bins(histogram, [100]).n_bins
+
+
+def test_ranks_do_not_depend_on_the_number_of_buckets(spark, monkeypatch):
+    from matchweft.llm import packing
+
+    df = spark.range(3000).selectExpr("id AS doc_id", "1 + id % 3 AS n")
+    bins = []
+    for at_once in (10, 10**6):
+        monkeypatch.setattr(packing, "RANKED_AT_ONCE", at_once)
+        out = pack(df, "doc_id", "n", [10])
+        bins.append(sorted(r["size"] for r in out.groupBy("bin_id").agg(F.sum("size").alias("size")).collect()))
+        assert out.count() == 3000
+    assert bins[0] == bins[1] == [10] * 600
+
+
 def test_no_items_and_empty_ones_only(spark):
     df = spark.createDataFrame([(1, None), (2, 0)], "doc_id bigint, n bigint")
     assert {(r["doc_id"], r["size"], r["bin_id"], r["capacity"]) for r in pack(df, "doc_id", "n", [8, 16]).collect()} == {(1, 0, 0, 8), (2, 0, 0, 8)}

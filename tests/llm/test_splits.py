@@ -68,6 +68,25 @@ def test_one_component_and_no_rows(spark):
     assert splits.linked_pairs(one.limit(0)).count() == 0
 
 
+def test_many_groups_are_differenced_level_by_level(spark, monkeypatch):
+    monkeypatch.setattr(splits, "GROUP_ROWS", 60)
+    monkeypatch.setattr(splits, "GROUPS_AT_ONCE", 3)
+    rng = random.Random(11)
+    rows = [(f"m{i}", f"st-{i + 1}", None) for i in range(1200) for _ in range(rng.randrange(1, 6))]
+    df, shares = _samples(spark, rows), spark.createDataFrame(SHARES, "split string, share double")
+    split = {r["match_id"]: r["split"] for r in splits.assign_splits(df, shares, bins=20).collect()}
+    assert len(split) == 1200
+    for name, share in SHARES:
+        assert abs(sum(split[r[0]] == name for r in rows) / len(rows) - share) < 0.01
+
+
+def test_what_a_stand_in_is(spark):
+    ids = ["ab-c00d", "alpha", "m0n", "x_0", "00", "n/a", "st-10"]
+    df = spark.createDataFrame([(x,) for x in ids], "s string")
+    assert [r["s"] for r in df.where(splits.names_a_state(F.col("s"))).collect()] == ["ab-c00d", "m0n", "st-10"]
+    assert df.where(splits.names_a_state(F.col("s"), "^$")).count() == len(ids)
+
+
 def test_differencing_is_even_and_keeps_every_weight():
     rng = np.random.default_rng(1)
     for n, bins in ((0, 4), (3, 8), (5000, 50)):
