@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.drift import schema_changes, unify_records
 from ..operators.impute import fill_states
-from ..operators.nested import flatten_boards, item_occurrences, rebuild_boards, unit_occurrences
+from ..operators.nested import flatten_boards, item_occurrences, nested_counts, rebuild_boards, unit_occurrences
 from ..operators.outliers import implausible_readings
 from ..operators.periods import periods_and_gaps
 from ..sources.tables import table
@@ -31,6 +31,11 @@ def p1_boards(spark: SparkSession, sf: str) -> DataFrame:
     return boards.select("state_id", "opponent_pos", F.size("board").cast("bigint").alias("n_units"))
 
 
+def p1_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each of the flat tables."""
+    return nested_counts(flatten_boards(table(spark, sf, "game_states")))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return periods_and_gaps(table(spark, sf, "decisions"), "match_id", "start_timestamp_s", "end_timestamp_s")
 
@@ -59,7 +64,7 @@ def p6_filled(spark: SparkSession, sf: str) -> DataFrame:
     return fill_states(table(spark, sf, "game_states")).withColumn("filled", F.array_join("filled", ","))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_opponents, p1_boards, p2_found, p4_found, p4_observations, p4_game_states, p5_found, p6_found, p6_filled)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_units, p1_opponents, p1_boards, p1_counts, p2_found, p4_found, p4_observations, p4_game_states, p5_found, p6_found, p6_filled)}
 
 _OCCURRENCES = """
 WITH boards AS (
@@ -98,6 +103,18 @@ FROM (SELECT state_id, opponent_pos, unit_pos, u.items AS items, unnest(range(le
     "p1_opponents": """SELECT DISTINCT state_id, CAST(i AS BIGINT) AS opponent_pos, o.player_id AS player_id, o.hp AS hp, o.level AS level
 FROM (SELECT state_id, i, observed_opponents[i + 1] AS o FROM (SELECT state_id, observed_opponents, unnest(range(len(observed_opponents))) AS i FROM game_states)) WHERE o IS NOT NULL""",
     "p1_boards": _OCCURRENCES + "SELECT state_id, opponent_pos, count(*) AS n_units FROM units WHERE u IS NOT NULL GROUP BY state_id, opponent_pos",
+    "p1_counts": _OCCURRENCES
+    + """, b AS (SELECT DISTINCT board FROM boards WHERE len(board) > 0),
+bu AS (SELECT board, u, i FROM (SELECT board, i, board[i + 1] AS u FROM (SELECT board, unnest(range(len(board))) AS i FROM b)) WHERE u IS NOT NULL),
+du AS (SELECT DISTINCT u FROM bu),
+o AS (SELECT DISTINCT state_id, i, observed_opponents[i + 1] AS o FROM (SELECT state_id, observed_opponents, unnest(range(len(observed_opponents))) AS i FROM game_states) WHERE observed_opponents[i + 1] IS NOT NULL)
+SELECT 'state_boards' AS table_name, count(*) AS n_rows FROM (SELECT DISTINCT state_id, opponent_pos, board FROM boards WHERE len(board) > 0)
+UNION ALL SELECT 'state_opponents', count(*) FROM o
+UNION ALL SELECT 'board_units', count(*) FROM bu
+UNION ALL SELECT 'board_items', count(*) FROM (SELECT unnest(u.items) AS x FROM bu) WHERE x IS NOT NULL
+UNION ALL SELECT 'unit_items', count(*) FROM (SELECT unnest(u.items) AS x FROM du) WHERE x IS NOT NULL
+UNION ALL SELECT 'opponents', count(*) FROM (SELECT DISTINCT o.player_id AS a, o.hp AS b, o.level AS c, o.confidence AS d, o.schema_version AS e, CASE WHEN len(o.board) > 0 THEN o.board END AS f FROM o)
+UNION ALL SELECT 'units', count(*) FROM du""",
     "p2_found": _SPANS,
     "p6_found": _MISSING,
 }
