@@ -54,6 +54,18 @@ def counterfactual_gaps(expected: DataFrame, state: str, action: str) -> DataFra
     return expected.join(best, state).select(state, action, "expected", (F.col("best") - F.col("expected")).alias("gap"))
 
 
+def actual_gaps(samples: DataFrame, expected: DataFrame, values: DataFrame, action: str, state: str, following: str) -> DataFrame:
+    """Expected value of the action that was taken, less the value of the state that in fact followed: how much better or worse it could be expected to go."""
+    taken = samples.join(expected.select(state, action, "expected"), [state, action])
+    return taken.join(values.select(F.col(state).alias(following), F.col("value").alias("actual")), following).withColumn("gap", F.col("expected") - F.col("actual"))
+
+
+def percentiles(states: DataFrame, by: str, shares: list[float]) -> DataFrame:
+    """Exact percentiles of gold and hp by group."""
+    made = [F.percentile(F.when(F.col(f"player.{c}") >= 0, F.col(f"player.{c}")), float(q)).alias(f"{c}_p{round(q * 100)}") for c in ("gold", "hp") for q in shares]
+    return states.groupBy(by).agg(*made)
+
+
 def advise(current: DataFrame, findings: DataFrame, enabled: bool) -> DataFrame:
     """One suggested action for the current state of each match; nothing unless the realtime switch is on. It reads and never writes."""
     worst = findings.groupBy("match_id").agg(F.max(F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "major", 1).otherwise(0)).alias("urgency"))

@@ -99,3 +99,26 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     carried = scan(both, ["__k"], "__t", "__id", {"__found": ("last", F.col("__right"))}).where("__left is not null")
     fine = F.col("__k").isNotNull() & F.col("__t").between(-1e15, 1e15)
     return carried.select("__left.*", *[F.when(fine, F.col(f"__found.{c}")).alias(c) for c in take])
+
+
+def within(points: DataFrame, intervals: DataFrame, key: str, time: str, start: str, end: str, bucket_s: float = 60.0, most: int = 64) -> DataFrame:
+    """Points joined with the intervals of their key that hold them, bounds included; the columns of both, the key once.
+
+    An interval is dealt to the buckets of time that it touches and meets only the points of those,
+    so the join is on equal (key, bucket). Intervals over more than ``most`` buckets are dealt to
+    buckets ``most`` times as wide, and so on in three widths; each point is in one bucket of
+    each width. Rows without a key or finite times take no part. Other columns must differ in name.
+    """
+    t, a, b = F.col(time), F.col(start), F.col(end)
+    finite = lambda c: c.between(-1e15, 1e15)
+    spans = intervals.where(F.col(key).isNotNull() & finite(a) & finite(b) & (a <= b))
+    widths = [bucket_s * float(most) ** i for i in range(3)]
+    bucket = lambda c, w: F.floor(c / w).cast("bigint")
+    level = F.lit(2)
+    for i in (1, 0):
+        level = F.when(b - a <= widths[i] * (most - 1), i).otherwise(level)
+    at = lambda c: F.when(F.col("__level") == 0, bucket(c, widths[0])).when(F.col("__level") == 1, bucket(c, widths[1])).otherwise(bucket(c, widths[2]))
+    dealt = spans.withColumn("__level", level).withColumn("__bucket", F.explode(F.sequence(at(a), at(b))))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("__level"), bucket(t, w).alias("__bucket")) for i, w in enumerate(widths)]))
+    placed = points.where(finite(t)).select("*", each.alias("__p")).select(*points.columns, "__p.*")
+    return placed.join(dealt, [key, "__level", "__bucket"]).where((t >= a) & (t <= b)).drop("__level", "__bucket")

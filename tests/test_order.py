@@ -108,6 +108,16 @@ def test_files_round_trip(spark, sf, tmp_path):
     assert set(tables.read_merged(spark, str(tmp_path / "d")).columns) == set(d.columns)
 
 
+def test_points_within_intervals_equal_brute_force(spark):
+    rng = random.Random(4)
+    points = [(rng.choice("ab"), float(rng.randrange(0, 40_000)), i) for i in range(400)] + [("a", None, 900), (None, 5.0, 901), ("a", float("nan"), 902)]
+    spans = [(rng.choice("ab"), float(s), float(s + rng.choice([0, 5, 60, 3_000, 30_000, 10**9])), i) for i, s in enumerate(rng.choices(range(40_000), k=60))] + [("a", 9.0, 3.0, 70), ("a", None, 3.0, 71), ("b", 0.0, 40_000.0, 72), ("b", 0.0, 40_000.0, 73)]
+    got = order.within(spark.createDataFrame(points, "m string, t double, i int"), spark.createDataFrame(spans, "m string, a double, b double, j int"), "m", "t", "a", "b")
+    want = {(i, j) for m, t, i in points for n, a, b, j in spans if m == n and None not in (t, a, b) and a <= t <= b}
+    rows = [(r["i"], r["j"]) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
 def test_perception_takes_a_recogniser(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"gold")
     evidence = spark.read.format("binaryFile").load(str(tmp_path))
