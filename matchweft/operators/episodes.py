@@ -4,25 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .order import CHUNK_S, differs, scan
+from .order import CHUNK_S, differs, scan, stretches
 
 ROLLDOWN = ("refresh_shop", "buy_unit", "sell_unit")
 
 
 def episodes_by_run(events: DataFrame, kind: str = "event_type", time: str = "timestamp_s", id_: str = "event_id", chunk_s: int = CHUNK_S) -> DataFrame:
     """Stretches of events of one kind: match_id, episode_no, kind, n_events, start and end time, first id."""
-    rows = scan(events.select("match_id", kind, time, id_), ["match_id"], time, id_, {"b": ("before", F.col(kind))}, chunk_s=chunk_s)
-    new = F.col("b").isNull() | differs(F.col(kind), F.col("b.v"))
-    rows = scan(rows.withColumn("new", F.when(new, 1)).drop("b"), ["match_id"], time, id_, {"episode_no": ("count", F.col("new"))}, chunk_s=chunk_s)
+    rows = stretches(events.select("match_id", kind, time, id_), ["match_id"], time, id_, F.col(kind), differs, chunk_s).withColumnRenamed("stretch_no", "episode_no")
     return rows.groupBy("match_id", "episode_no", kind).agg(F.count(F.lit(1)).alias("n_events"), F.min(time).alias("start_timestamp_s"), F.max(time).alias("end_timestamp_s"), F.min_by(id_, F.struct(time, id_)).alias("first_id"))
 
 
 def rolldowns(events: DataFrame, gap_s: float, chunk_s: int = CHUNK_S) -> DataFrame:
     """Refresh, buy and sell events with less than the gap between them, as ROLLDOWN episodes."""
     rows = events.where(F.col("event_type").isin(*ROLLDOWN)).select("match_id", "timestamp_s", "event_id", "confidence")
-    rows = scan(rows, ["match_id"], "timestamp_s", "event_id", {"b": ("before", F.col("timestamp_s"))}, chunk_s=chunk_s)
-    new = F.when(F.col("b").isNull() | (F.col("timestamp_s") - F.col("b.v") >= gap_s), 1)
-    rows = scan(rows.withColumn("new", new).drop("b"), ["match_id"], "timestamp_s", "event_id", {"episode_no": ("count", F.col("new"))}, chunk_s=chunk_s)
+    rows = stretches(rows, ["match_id"], "timestamp_s", "event_id", F.col("timestamp_s"), lambda t, before: t - before >= gap_s, chunk_s).withColumnRenamed("stretch_no", "episode_no")
     return rows.groupBy("match_id", "episode_no").agg(F.count(F.lit(1)).alias("n_events"), F.min("timestamp_s").alias("start_timestamp_s"), F.max("timestamp_s").alias("end_timestamp_s"), F.min("confidence").alias("confidence"))
 
 
@@ -46,6 +42,5 @@ def actions_of_episodes(decisions: DataFrame) -> DataFrame:
 def overlapping_episodes(decisions: DataFrame) -> DataFrame:
     """Episodes of a match that start before one that started earlier has ended."""
     ok = decisions.where("start_timestamp_s <= end_timestamp_s").dropDuplicates(["decision_id"]).select("match_id", "decision_id", "start_timestamp_s", "end_timestamp_s")
-    rows = scan(ok, ["match_id"], "start_timestamp_s", "decision_id", {"b": ("min", -F.col("end_timestamp_s"))})
-    rows = scan(rows, ["match_id"], "start_timestamp_s", "decision_id", {"busy": ("before", -F.col("b"))})
-    return rows.where("start_timestamp_s < busy.v").select("match_id", "decision_id")
+    rows = scan(ok, ["match_id"], "start_timestamp_s", "decision_id", {"busy": ("most_before", F.col("end_timestamp_s"))})
+    return rows.where("start_timestamp_s < busy").select("match_id", "decision_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .order import differs, scan
+from .order import differs, scan, stretches
 
 
 def confident(confidence: Column, least: float) -> Column:
@@ -36,6 +36,10 @@ def keyframes(records: DataFrame, every_s: float = 10, time: str = "timestamp_s"
     return slots.groupBy("match_id", "slot").agg(first.alias("f")).select("match_id", "slot", F.col("f.i").alias(id_), F.col("f.t").alias(time))
 
 
+def _runs(records: DataFrame, value: str, time: str, id_: str, within: tuple[str, ...]) -> DataFrame:
+    return stretches(records, ["match_id", *within], time, id_, F.col(value), differs)
+
+
 def changes(records: DataFrame, value: str, time: str = "timestamp_s", id_: str = "observation_id", within: tuple[str, ...] = ()) -> DataFrame:
     """Records whose value differs from the one before in the match; the first one does."""
     rows = scan(records, ["match_id", *within], time, id_, {"__b": ("before", F.col(value))})
@@ -44,17 +48,9 @@ def changes(records: DataFrame, value: str, time: str = "timestamp_s", id_: str
 
 def confirmed(records: DataFrame, value: str, frames: int = 2, time: str = "timestamp_s", id_: str = "observation_id", within: tuple[str, ...] = ("kind",)) -> DataFrame:
     """Records that are at least the n-th in a row with the same value in their match (and kind)."""
-    keys = ["match_id", *within]
-    rows = scan(records, keys, time, id_, {"__b": ("before", F.col(value))})
-    new = F.col("__b").isNull() | differs(F.col(value), F.col("__b.v"))
-    if frames == 2:
-        return rows.where(~new).drop("__b")
-    # A record's place in its stretch: its number less that of the record that began it.
-    rows = scan(rows.withColumn("__new", new), keys, time, id_, {"__i": ("count", F.lit(1))})
-    rows = scan(rows, keys, time, id_, {"__start": ("last", F.when(F.col("__new"), F.col("__i")))})
-    return rows.where(F.col("__i") - F.col("__start") + 1 >= frames).drop("__b", "__new", "__i", "__start")
+    return _runs(records, value, time, id_, within).where(F.col("stretch_place") >= frames).drop("stretch_no", "stretch_place")
 
 
 def first_confirmation(records: DataFrame, value: str, frames: int = 2, time: str = "timestamp_s", id_: str = "observation_id") -> DataFrame:
-    """One record for each confirmed stretch: the one that completes the confirmation."""
+    """One record for each confirmed stretch: the one that completes the confirmation. A value that is confirmed again after others that were not is no new one."""
     return changes(confirmed(records, value, frames, time, id_), value, time, id_, ("kind",))

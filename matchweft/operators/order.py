@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from ..session import cut_lineage
 
 #: Seconds of a match that one task scans at a time.
 CHUNK_S = 3_600
@@ -34,55 +37,99 @@ def latest(df: DataFrame, key: str, time: str, id_: str) -> DataFrame:
     return df.groupBy(key).agg(best.alias("r")).select("r.*")
 
 
-def scan(df: DataFrame, keys: list[str], time: str, id_: str, running: dict[str, tuple[str, Column]], backwards: bool = False, chunk_s: int = CHUNK_S) -> DataFrame:
+#: Chunk of rows whose time is null or not finite; it sorts before all others.
+NO_CHUNK = -(2**62)
+
+
+def _chunked(df: DataFrame, keys: list[str], time: str, chunk_s: float) -> tuple[DataFrame, list[str]]:
+    """The rows with their keys and chunk as columns that are never null, so that windows, aggregates and joins on them share one partitioning."""
+    t = F.col(time)
+    finite = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
+    chunk = F.when(finite, F.floor(F.least(F.greatest(t / chunk_s, F.lit(-1e15)), F.lit(1e15)))).cast("bigint")  # whatever lies farther shares the last chunk
+    at = [f"__k{i}" for i in range(len(keys))]
+    named = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")).alias(n) for k, n in zip(keys, at)]
+    return df.select("*", *named, F.coalesce(chunk, F.lit(NO_CHUNK)).alias("__c")), at
+
+
+def scan(df: DataFrame, keys: list[str], time: str, id_: str, running: dict[str, tuple[str, Column]], backwards: bool = False, chunk_s: float = CHUNK_S) -> DataFrame:
     """Running values along each key's order (time, then id), with no key in one task.
 
     ``running`` names new columns, each a kind and an expression: ``last`` (the last value so far
-    that is not null), ``sum``, ``count`` (of values that are not null), ``min``, or ``before``
-    (a struct ``v`` of the row before, null for the first row). ``backwards`` runs from the end.
+    that is not null), ``sum``, ``count`` (of values that are not null), ``min``, ``before``
+    (a struct ``v`` of the row before, null for the first row) or ``most_before`` (the greatest
+    value of all rows before). ``backwards`` runs from the end.
 
     Rows are scanned within (key, hour); what the hours before bring in comes from one row for
     each (key, hour), made by a partial aggregate, and is joined to the hour. Rows whose time is
     null or not finite are an hour of their own, in front.
     """
-    t = F.col(time)
-    finite = t.isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
-    chunk = F.when(finite, F.floor(F.least(F.greatest(t / chunk_s, F.lit(-1e15)), F.lit(1e15)))).cast("bigint")  # whatever lies farther shares the last chunk
-    rows = df.select("*", chunk.alias("__c"), *[x.alias(f"__x_{n}") for n, (_, x) in running.items()])
+    rows, at = _chunked(df, keys, time, chunk_s)
+    rows = rows.select("*", *[x.alias(f"__x_{n}") for n, (_, x) in running.items()])
     ways = [F.desc_nulls_last(c) for c in (time, id_)] if backwards else [F.asc_nulls_first(c) for c in (time, id_)]
-    w = Window.partitionBy(*keys, "__c").orderBy(*ways)
-    upto = so_far(w)
+    w = Window.partitionBy(*at, "__c").orderBy(*ways)
+    upto, ahead = so_far(w), w.rowsBetween(Window.unboundedPreceding, -1)
     far = F.max_by if not backwards else F.min_by
     order = F.struct(time, id_)
-    hours = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("__c") if backwards else F.asc_nulls_first("__c"))
+    hours = Window.partitionBy(*at).orderBy(F.desc("__c") if backwards else F.asc("__c"))
     earlier = hours.rowsBetween(Window.unboundedPreceding, -1)
     here, totals, carried, joined = [], [], [], []
     for n, (kind, _) in running.items():
-        x = F.col(f"__x_{n}")
+        x, h, b = F.col(f"__x_{n}"), F.col(f"__h_{n}"), F.col(f"__b_{n}")
         if kind == "before":
             here.append(F.lag(F.struct(x.alias("v"))).over(w))
             totals.append(far(F.struct(x.alias("v")), order))
             carried.append(F.lag(f"__t_{n}").over(hours))
-            joined.append(F.coalesce(f"__h_{n}", f"__b_{n}"))
+            joined.append(F.coalesce(h, b))
         elif kind == "last":
             here.append(F.last(x, ignorenulls=True).over(upto))
             totals.append(far(x, F.when(x.isNotNull(), order)))
             carried.append(F.last(f"__t_{n}", ignorenulls=True).over(earlier))
-            joined.append(F.coalesce(f"__h_{n}", f"__b_{n}"))
+            joined.append(F.coalesce(h, b))
+        elif kind == "most_before":
+            here.append(F.max(x).over(ahead))
+            totals.append(F.max(x))
+            carried.append(F.max(f"__t_{n}").over(earlier))
+            joined.append(F.greatest(h, b))
         else:
             made = {"sum": F.sum, "count": F.count, "min": F.min}[kind]
             here.append(made(x).over(upto))
             totals.append(made(x))
             carried.append((F.min if kind == "min" else F.sum)(f"__t_{n}").over(earlier))
-            joined.append(F.least(f"__h_{n}", f"__b_{n}") if kind == "min" else F.col(f"__h_{n}") + F.coalesce(f"__b_{n}", F.lit(0)) if kind == "count" else F.coalesce(F.col(f"__h_{n}") + F.col(f"__b_{n}"), f"__h_{n}", f"__b_{n}"))
+            joined.append(F.least(h, b) if kind == "min" else h + F.coalesce(b, F.lit(0)) if kind == "count" else F.coalesce(h + b, h, b))
     names = list(running)
     inside = rows.select("*", *[c.alias(f"__h_{n}") for n, c in zip(names, here)])
-    hourly = rows.groupBy(*keys, "__c").agg(*[c.alias(f"__t_{n}") for n, c in zip(names, totals)])
-    brought = hourly.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__c").alias("__kc"), *[c.alias(f"__b_{n}") for n, c in zip(names, carried)])
-    same = F.col("__c").eqNullSafe(F.col("__kc"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    return inside.join(brought, same, "left").select(*df.columns, *[c.alias(n) for n, c in zip(names, joined)])
+    hourly = rows.groupBy(*at, "__c").agg(*[c.alias(f"__t_{n}") for n, c in zip(names, totals)])
+    brought = hourly.select(*at, "__c", *[c.alias(f"__b_{n}") for n, c in zip(names, carried)])
+    return inside.join(brought, [*at, "__c"], "left").select(*df.columns, *[c.alias(n) for n, c in zip(names, joined)])
+
+
+def stretches(df: DataFrame, keys: list[str], time: str, id_: str, value: Column, breaks: Callable[[Column, Column], Column], chunk_s: float = CHUNK_S) -> DataFrame:
+    """Stretches of rows along each key's order: all columns, ``stretch_no`` (from 1 in each key) and ``stretch_place`` (from 1 in each stretch).
+
+    A stretch begins with the first row of a key and wherever ``breaks(value, value before)`` holds.
+    Stretches are counted within (key, hour) in one pass, which is kept in the checkpoint folder;
+    one row for each (key, hour) then says what the hours before bring in, whether the hour's
+    first row goes on their last stretch included.
+    """
+    rows, at = _chunked(df, keys, time, chunk_s)
+    w = Window.partitionBy(*at, "__c").orderBy(F.asc_nulls_first(time), F.asc_nulls_first(id_))
+    rows = rows.withColumn("__v", F.struct(value.alias("v")))
+    rows = rows.select("*", F.lag("__v").over(w).alias("__p"), F.row_number().over(w).cast("bigint").alias("__r"))
+    rows = rows.withColumn("__n", F.when(F.col("__p").isNotNull() & breaks(F.col("__v.v"), F.col("__p.v")), F.col("__r")))
+    inside = cut_lineage(rows.select(*df.columns, *at, "__c", "__v", "__r", F.count("__n").over(so_far(w)).alias("__i"), F.max("__n").over(so_far(w)).alias("__s")))
+    hourly = inside.groupBy(*at, "__c").agg(F.max("__i").alias("i"), F.max("__r").alias("r"), F.max("__s").alias("s"), F.min_by("__v", "__r").alias("first"), F.max_by("__v", "__r").alias("last"))
+    hours = Window.partitionBy(*at).orderBy("__c")
+    earlier = hours.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.lag("last").over(hours)
+    hourly = hourly.withColumn("opens", F.coalesce(before.isNull() | breaks(F.col("first.v"), before["v"]), F.lit(False)))
+    hourly = hourly.withColumn("at", F.coalesce(F.sum("r").over(earlier), F.lit(0)))
+    begun = F.when(F.col("s").isNotNull(), F.col("at") + F.col("s")).when(F.col("opens"), F.col("at") + 1)  # where the hour's last stretch began
+    brought = hourly.select(
+        *at, "__c", "at", (F.coalesce(F.sum(F.col("i") + F.col("opens").cast("bigint")).over(earlier), F.lit(0)) + F.col("opens").cast("bigint")).alias("no"),
+        F.when(F.col("opens"), F.col("at") + 1).otherwise(F.max(begun).over(earlier)).alias("start"),
+    )
+    place = F.col("at") + F.col("__r") - F.coalesce(F.col("at") + F.col("__s"), "start") + 1
+    return inside.join(brought, [*at, "__c"]).select(*df.columns, (F.col("no") + F.col("__i")).alias("stretch_no"), place.alias("stretch_place"))
 
 
 def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str, take: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .order import CHUNK_S, in_match, latest, scan, so_far
+from .order import CHUNK_S, latest, scan
 
 def reduce_states(events: DataFrame, fields: dict[str, tuple[str, Column]], count_of: str | None = None, chunk_s: int = CHUNK_S) -> DataFrame:
     """One state for each event time: the last value of each field and the number of events so far.
@@ -32,13 +32,13 @@ def fold_board(events: DataFrame, unit: str = "unit_id") -> DataFrame:
     """The units each match holds after its last event: match_id, unit, stars, since.
 
     Buying a unit again raises it by a star, selling removes it. What happens to one unit depends
-    on no other, so the fold runs within (match, unit): sales cut a unit's events into lives, and
-    the last life counts. No match is collected into one row.
+    on no other, so the fold runs within (match, unit): the last sale of a unit ends its former
+    lives, and the purchases after it count. Two partial aggregates, so no unit's events are sorted.
     """
-    rows = events.where(F.col("event_type").isin("buy_unit", "sell_unit") & F.col(unit).isNotNull())
-    sold = F.col("event_type") == "sell_unit"
-    w = so_far(in_match("timestamp_s", "event_id", unit))
-    lives = rows.select("match_id", F.col(unit).alias("unit"), "timestamp_s", sold.alias("sold"), F.sum(F.when(sold, 1).otherwise(0)).over(w).alias("life"))
-    lives = lives.groupBy("match_id", "unit", "life").agg(F.sum(F.when(~F.col("sold"), 1).otherwise(0)).cast("bigint").alias("stars"), F.min(F.when(~F.col("sold"), F.col("timestamp_s"))).alias("since"))
-    last = lives.groupBy("match_id", "unit").agg(F.max_by(F.struct("stars", "since"), "life").alias("x"))
-    return last.select("match_id", "unit", "x.stars", "x.since").where("stars > 0")
+    rows = events.where(F.col("event_type").isin("buy_unit", "sell_unit") & F.col(unit).isNotNull()).select("match_id", F.col(unit).alias("unit"), "timestamp_s", "event_id", (F.col("event_type") == "sell_unit").alias("sold"))
+    at = F.struct(F.coalesce("timestamp_s", F.lit(float("-inf"))).alias("t"), F.coalesce("event_id", F.lit("")).alias("i"))
+    sales = rows.where("sold").groupBy(F.coalesce("match_id", F.lit("")).alias("__m"), F.col("match_id").isNull().alias("__none"), F.col("unit").alias("__u")).agg(F.max(at).alias("sale"))
+    bought = rows.where("not sold").withColumn("at", at)
+    same = (F.coalesce("match_id", F.lit("")) == F.col("__m")) & (F.col("match_id").isNull() == F.col("__none")) & (F.col("unit") == F.col("__u"))
+    live = bought.join(sales, same, "left").where(F.col("sale").isNull() | (F.col("at") > F.col("sale")))
+    return live.groupBy("match_id", "unit").agg(F.count(F.lit(1)).alias("stars"), F.min("timestamp_s").alias("since"))

@@ -108,6 +108,27 @@ def test_files_round_trip(spark, sf, tmp_path):
     assert set(tables.read_merged(spark, str(tmp_path / "d")).columns) == set(d.columns)
 
 
+def test_stretches_equal_a_plain_walk(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float("nan"), float(rng.randrange(0, 30_000)), float(rng.randrange(0, 30_000)), 1e17]), f"e{i:04d}", rng.choice([1, 1, 2, None])) for i in range(500)]
+    rows += [("calm", float(t), f"c{t}", 7) for t in range(0, 40_000, 1_000)]
+    got = {r["event_id"]: (r["stretch_no"], r["stretch_place"]) for r in order.stretches(spark.createDataFrame(rows, SCHEMA), ["match_id"], "timestamp_s", "event_id", F.col("v"), order.differs).collect()}
+    want, groups = {}, {}
+    for r in rows:
+        groups.setdefault(r[0], []).append(r)
+    for members in groups.values():
+        untimed = [r for r in members if r[1] is None]
+        timed = sorted((r for r in members if r[1] is not None and r[1] == r[1]), key=lambda r: (r[1], r[2]))
+        nan = sorted((r for r in members if r[1] is not None and r[1] != r[1]), key=lambda r: r[2])
+        no, place, before = 0, 0, object()
+        for r in [*sorted(untimed, key=lambda r: r[2]), *nan, *timed]:
+            no, place = (no, place + 1) if r[3] == before else (no + 1, 1)
+            before = r[3]
+            want[r[2]] = (no, place)
+    assert got == want
+    assert order.stretches(spark.createDataFrame(rows[:0], SCHEMA), ["match_id"], "timestamp_s", "event_id", F.col("v"), order.differs).count() == 0
+
+
 def test_points_within_intervals_equal_brute_force(spark):
     rng = random.Random(4)
     points = [(rng.choice("ab"), float(rng.randrange(0, 40_000)), i) for i in range(400)] + [("a", None, 900), (None, 5.0, 901), ("a", float("nan"), 902)]
