@@ -29,7 +29,8 @@ _OUT = "record_type string, record_id string, field string, reason string"
 
 
 def _segment(t: Column) -> Column:
-    return F.when(t.between(-1e15, 1e15), F.floor(t / SEGMENT_S)).otherwise(F.lit(UNTIMED)).cast("bigint")
+    """Segments lie around the beginning of a match, so that no border and no doubled readings fall on it."""
+    return F.when(t.between(-1e15, 1e15), F.floor(t / SEGMENT_S + 0.5)).otherwise(F.lit(UNTIMED)).cast("bigint")
 
 
 def _segments(t: Column) -> Column:
