@@ -293,12 +293,11 @@ def canonical_values(spark, sf):
     return o.groupBy("kind", canonical_object(F.col("value"), ["ocr_score"]).alias("same")).agg(F.count(F.lit(1)).alias("n")).groupBy("kind").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_readings"))
 
 
-def stream_states(spark, sf):
-    """The current state of every match from the event log read as a stream, run to its end; equals the batch over the same log."""
+def _event_stream(spark, sf):
+    """The event log as a stream of gold and hp changes, and a new folder for what it writes."""
     from uuid import uuid4
 
     from ..session import ensure_checkpoint_dir
-    from ..streaming import events as st
 
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid4().hex}"
@@ -308,15 +307,42 @@ def stream_states(spark, sf):
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("event_id"), F.concat(F.lit("m-"), F.col("user_id").cast("string")).alias("match_id"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("timestamp_s"), kind.alias("event_type"), F.get_json_object("props", "$.k").cast("bigint").alias("value"),
     )
+    return rows, folder
+
+
+def stream_states(spark, sf):
+    """The current state of every match from the event log read as a stream, run to its end; equals the batch over the same log."""
+    from ..streaming import events as st
+
+    rows, folder = _event_stream(spark, sf)
     st.run_to_end(st.latest_states(st.deduplicated(st.with_event_time(rows, "1 hour"))), f"{folder}/out", f"{folder}/log", "update")
     written = spark.read.parquet(f"{folder}/out/*")
     return written.groupBy("match_id").agg(F.max_by(F.struct("gold", "hp", "n_events"), "batch").alias("s")).select("match_id", "s.gold", "s.hp", "s.n_events")
 
 
+def stream_sessions(spark, sf):
+    """Sessions of every match that a stream has closed: those whose gap ends before the watermark, a day behind the last event."""
+    from ..streaming import events as st
+
+    rows, folder = _event_stream(spark, sf)
+    st.run_to_end(st.session_counts(st.with_event_time(rows, "1 day")), f"{folder}/out", f"{folder}/log")
+    return spark.read.parquet(f"{folder}/out").select("match_id", F.unix_micros("session_window.start").alias("started_us"), "n_events")
+
+
+def stream_advice(spark, sf):
+    """Advice from current states as they stream by; the last one of each match."""
+    from ..streaming import events as st
+
+    rows, folder = _event_stream(spark, sf)
+    st.run_to_end(st.advise_stream(st.latest_states(st.with_event_time(rows, "1 hour")), True), f"{folder}/out", f"{folder}/log", "update")
+    written = spark.read.parquet(f"{folder}/out/*")
+    return written.groupBy("match_id").agg(F.max_by("action_type", "batch").alias("action_type"))
+
+
 _NAMES = """event_normalize event_confidence_gate observation_gate contract_violations record_validation unknown_field_audit record_json_roundtrip schema_defaults
 nested_projection evidence_catalog evidence_duplicates provenance_explode provenance_resolved provenance_dangling keyframe_periodic keyframe_daily scene_change
 temporal_confirmation first_confirmation low_confidence_evidence detected_events state_reduce_last state_reduce_count state_fold_board state_latest current_states
 state_asof_decision episode_by_run episode_rolldown episode_by_gap episode_lengths episode_actions episode_overlaps action_projection action_mask transition_samples
 transition_model value_model vector_model counterfactual_gap encoded_states offline_dataset finding_statistics finding_rules report_rollup manifest_build
-rebuild_candidates schema_additive advise canonical_values stream_states""".split()
+rebuild_candidates schema_additive advise canonical_values stream_states stream_sessions stream_advice""".split()
 QUERIES = {name: globals()[name] for name in _NAMES}

@@ -111,6 +111,13 @@ _VIOLATIONS = (
 )
 _LATEST = "la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY timestamp_s DESC, state_id DESC, ingested_at) AS pick FROM game_states) WHERE pick = 1)"
 
+STREAMED = """
+WITH x AS (SELECT 'm-' || CAST(user_id AS VARCHAR) AS match_id, event_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
+g AS (SELECT match_id, k FROM (SELECT match_id, k, row_number() OVER (PARTITION BY match_id ORDER BY ts DESC, event_id DESC) AS n FROM x WHERE event_type = 'purchase') WHERE n = 1),
+h AS (SELECT match_id, k FROM (SELECT match_id, k, row_number() OVER (PARTITION BY match_id ORDER BY ts DESC, event_id DESC) AS n FROM x WHERE event_type = 'view') WHERE n = 1),
+c AS (SELECT match_id, count(*) AS n_events FROM x GROUP BY match_id)
+"""
+
 ORACLES = {
     "event_normalize": EVENTS + "SELECT event_id, match_id, round(timestamp_s, 6) AS timestamp_s, event_type, confidence, 'doc-' || CAST(k AS VARCHAR) AS evidence_ids FROM ev",
     "event_confidence_gate": EVENTS + "SELECT event_id, match_id, event_type, confidence FROM ev WHERE confidence >= 0.8",
@@ -273,11 +280,15 @@ WITH o AS (SELECT kind, coalesce(CAST(try_cast(json_extract_string(value, '$.' |
 SELECT kind, count(DISTINCT same) AS n_values, count(*) AS n_readings FROM o GROUP BY kind
 """,
     "contract_violations": _VIOLATIONS,
-    "stream_states": """
-WITH x AS (SELECT 'm-' || CAST(user_id AS VARCHAR) AS match_id, event_id, ts, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events),
-g AS (SELECT match_id, k FROM (SELECT match_id, k, row_number() OVER (PARTITION BY match_id ORDER BY ts DESC, event_id DESC) AS n FROM x WHERE event_type = 'purchase') WHERE n = 1),
-h AS (SELECT match_id, k FROM (SELECT match_id, k, row_number() OVER (PARTITION BY match_id ORDER BY ts DESC, event_id DESC) AS n FROM x WHERE event_type = 'view') WHERE n = 1),
-c AS (SELECT match_id, count(*) AS n_events FROM x GROUP BY match_id)
-SELECT c.match_id AS match_id, g.k AS gold, h.k AS hp, c.n_events AS n_events FROM c LEFT JOIN g ON c.match_id = g.match_id LEFT JOIN h ON c.match_id = h.match_id
+    "stream_states": STREAMED + "SELECT c.match_id AS match_id, g.k AS gold, h.k AS hp, c.n_events AS n_events FROM c LEFT JOIN g ON c.match_id = g.match_id LEFT JOIN h ON c.match_id = h.match_id",
+    "stream_advice": STREAMED + """
+SELECT c.match_id AS match_id, CASE WHEN h.k <= 20 THEN 'stabilize' WHEN g.k >= 50 THEN 'level_to' WHEN coalesce(g.k, 0) < 20 THEN 'hold_economy' ELSE 'roll_to_gold' END AS action_type
+FROM c LEFT JOIN g ON c.match_id = g.match_id LEFT JOIN h ON c.match_id = h.match_id
+""",
+    "stream_sessions": EVENTS + """
+, n AS (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 21600000000 THEN 0 ELSE 1 END AS new FROM ev WINDOW w AS (PARTITION BY match_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY match_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS no FROM n),
+s AS (SELECT match_id, epoch_us(min(ts)) AS started_us, count(*) AS n_events, epoch_us(max(ts)) + 21600000000 AS ends_us FROM g GROUP BY match_id, no)
+SELECT match_id, started_us, n_events FROM s WHERE ends_us <= ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 86400000) * 1000
 """,
 }

@@ -8,6 +8,7 @@ accepted give the same states.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,7 +40,11 @@ def deduplicated(events: DataFrame) -> DataFrame:
 
 
 def latest_states(events: DataFrame) -> DataFrame:
-    """The current gold and hp of each match and its number of events, for update mode. The latest event by time and id wins, in whatever order they arrive."""
+    """The current gold and hp of each match and its number of events, for update mode. The latest event by time and id wins, in whatever order they arrive.
+
+    A row of state is kept for each match ever seen, as the current state of all matches is what is
+    asked for; ``session_counts`` and ``ordered_states`` keep only what the watermark has not passed.
+    """
     at = F.struct("timestamp_s", "event_id")
     last = lambda kind: F.max_by("value", F.when(F.col("event_type") == kind, at))
     return events.groupBy("match_id").agg(*[last(kind).alias(field) for kind, field in SETS.items()], F.count(F.lit(1)).alias("n_events"))
@@ -50,19 +55,40 @@ def session_counts(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     return events.groupBy("match_id", F.session_window("event_time", gap)).agg(F.count(F.lit(1)).alias("n_events"))
 
 
-class _OrderedFold(StatefulProcessor):
-    """Buffers events until the watermark passes their time, then folds them in order into one state each."""
+#: Seconds of event time that one timer stands for.
+BUCKET_S = 10
+
+
+class _Buffered(StatefulProcessor):
+    """Buffers rows until the watermark passes their time, then gives those that are due, once each and in order, to ``fold``.
+
+    A timer is set for each bucket of event time rather than for each row. A bucket's expiry reads
+    what still waits, which is what arrived within the delay of the watermark; so each row is
+    read as often as there are buckets in the delay, however many rows a match has.
+    """
+
+    fields: list[str]
+    waiting_schema: str
+    state_schema: str
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "timestamp_s double, event_id string, event_type string, value bigint")
-        self.state = handle.getValueState("state", "gold bigint, hp bigint, n_events bigint")
+        self.waiting = handle.getListState("waiting", self.waiting_schema)
+        self.state = handle.getValueState("state", self.state_schema)
+
+    def fold(self, key: tuple, state: tuple | None, due: list[tuple]) -> tuple[tuple, pd.DataFrame]:
+        raise NotImplementedError
+
+    def typed(self, row: tuple) -> tuple:
+        """The row as plain values of the waiting list's types."""
+        return (float(row[0]), *(int(x) if isinstance(x, float) else x for x in row[1:]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for df in rows:
-            for t, i, kind, value in df[["timestamp_s", "event_id", "event_type", "value"]].itertuples(index=False):
-                self.waiting.appendValue((float(t), i, kind, None if pd.isna(value) else int(value)))
-                self.handle.registerTimer(int(round(t * 1000)) + 1)
+            new = [tuple(None if pd.isna(x) else x for x in r) for r in df[self.fields].itertuples(index=False)]
+            self.waiting.appendList([self.typed(r) for r in new])
+            for bucket in {math.ceil(r[0] / BUCKET_S) for r in new}:
+                self.handle.registerTimer(bucket * BUCKET_S * 1000 + 1)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -77,18 +103,28 @@ class _OrderedFold(StatefulProcessor):
             self.waiting.put(rest)
         else:
             self.waiting.clear()
-        gold, hp, n = self.state.get() if self.state.exists() else (None, None, 0)
+        state, out = self.fold(key, self.state.get() if self.state.exists() else None, due)
+        self.state.update(state)
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+class _OrderedFold(_Buffered):
+    fields = ["timestamp_s", "event_id", "event_type", "value"]
+    waiting_schema, state_schema = "timestamp_s double, event_id string, event_type string, value bigint", "gold bigint, hp bigint, n_events bigint"
+
+    def fold(self, key, state, due):
+        gold, hp, n = state or (None, None, 0)
         rows = []
         for t, i, kind, value in due:
             n += 1
+            value = None if value is None else int(value)
             gold = value if kind == "gold_changed" else gold
             hp = value if kind == "hp_changed" else hp
             rows.append((key[0], t, i, gold, hp, n))
-        self.state.update((gold, hp, n))
-        yield pd.DataFrame(rows, columns=["match_id", "timestamp_s", "event_id", "gold", "hp", "n_events"]).astype({"gold": "Int64", "hp": "Int64"})
-
-    def close(self) -> None:
-        pass
+        return (gold, hp, n), pd.DataFrame(rows, columns=["match_id", "timestamp_s", "event_id", "gold", "hp", "n_events"]).astype({"gold": "Int64", "hp": "Int64"})
 
 
 def ordered_states(events: DataFrame) -> DataFrame:
@@ -96,45 +132,18 @@ def ordered_states(events: DataFrame) -> DataFrame:
     return events.groupBy("match_id").transformWithStateInPandas(statefulProcessor=_OrderedFold(), outputStructType=STATE_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 
-class _Detect(StatefulProcessor):
-    """Buffers readings until the watermark passes them, then tells of each that differs from the one before of its kind."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "timestamp_s double, observation_id string, same string")
-        self.last = handle.getValueState("last", "same string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for df in rows:
-            for t, i, same in df[["timestamp_s", "observation_id", "same"]].itertuples(index=False):
-                self.waiting.appendValue((float(t), i, same))
-                self.handle.registerTimer(int(round(t * 1000)) + 1)
-        yield pd.DataFrame()
+class _Detect(_Buffered):
+    fields = ["timestamp_s", "observation_id", "same"]
+    waiting_schema, state_schema = "timestamp_s double, observation_id string, same string", "same string"
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() / 1000
-        buffered = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted({x for x in buffered if x[0] <= now}, key=lambda x: (x[0], x[1] or ""))
-        if not due:
-            yield pd.DataFrame()
-            return
-        rest = [x for x in buffered if x[0] > now]
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        known = self.last.exists()
-        last = self.last.get()[0] if known else None
+    def fold(self, key, state, due):
+        known, last = state is not None, state[0] if state else None
         rows = []
         for t, i, same in due:
             if not known or same != last:
                 rows.append((key[0], key[1], t, i))
             known, last = True, same
-        self.last.update((last,))
-        yield pd.DataFrame(rows, columns=["match_id", "kind", "timestamp_s", "observation_id"])
-
-    def close(self) -> None:
-        pass
+        return (last,), pd.DataFrame(rows, columns=["match_id", "kind", "timestamp_s", "observation_id"])
 
 
 def changed_readings(observations: DataFrame) -> DataFrame:
